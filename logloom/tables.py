@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +43,17 @@ def drop_materialized(*frames: DataFrame) -> None:
             if root in path:
                 hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
                 hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to all Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_logloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='logloom-')}/logloom.zip"  # the driver serves it to the executors as long as it lives
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"logloom/{p.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._logloom_shipped = True
