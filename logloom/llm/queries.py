@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import near_dedup, ordered_minhash, sharding, urlfilter
+from logloom.llm import near_dedup, ordered_minhash, repeats, sharding, urlfilter
 from logloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,13 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+@query
+def op8_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs, length=400, keep_first=False, aligned=False)
+    return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {values(URL_RULES)} AS r(host, path, verdict)")
