@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import near_dedup, ordered_minhash, repeats, sharding, urlfilter
+from logloom.llm import decontaminate, near_dedup, ordered_minhash, repeats, sharding, urlfilter
 from logloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,27 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shingle_sql(source: str, key: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"SELECT {key}, regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {source}"
+    cut = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    return f"SELECT DISTINCT {key}, unnest({cut}) AS s FROM ({words})"
+
+
+ORACLE_SQL["op2_benchmark_decontamination"] = f"""
+WITH d AS ({_shingle_sql("documents", "doc_id")}), b AS ({_shingle_sql("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT d.doc_id, b.item_id, count(*)::DOUBLE / any_value(n.n) AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY d.doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n.n)
+"""
+
+
 @query
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_records(table(spark, sf_dir, "documents"), [1.0] * 40, grown=[1.0] * 41)
