@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, near_dedup, ordered_minhash, repeats, sharding, urlfilter
+from logloom.llm import bpe, decontaminate, near_dedup, ordered_minhash, repeats, sharding, urlfilter
 from logloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,11 @@ GROUP BY d.doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n.n)
 """
 
 
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_records(table(spark, sf_dir, "documents"), [1.0] * 40, grown=[1.0] * 41)
