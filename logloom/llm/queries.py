@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, decontaminate, near_dedup, ordered_minhash, repeats, sharding, toxicity, urlfilter
+from logloom.llm import bpe, decontaminate, near_dedup, ordered_minhash, repeats, sharding, templates, toxicity, urlfilter
 from logloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ GROUP BY d.doc_id, b.item_id HAVING count(*) >= 0.8 * any_value(n.n)
 """
 
 
+@query
+def op3_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
