@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from logloom.llm import bpe, decontaminate, near_dedup, repeats, toxicity
 from logloom.tables import materialize, table
 
-STAGES = []
+#: A passage of 50 words is longer than so many bytes in all languages of the corpus.
+PASSAGE_BYTES = 200
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, net).where("score < 0.5").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the least doc_id; rows without an id stay."""
+    groups = near_dedup.near_duplicates(docs, threshold=0.8, k=5)
+    dropped = groups.where("doc_id <> component_id").select("doc_id")
+    rows = docs.join(dropped, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return rows.withColumn("_n", first).where("_n = 1 OR doc_id IS NULL").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of passages; the first copy stays."""
+    out = repeats.remove_repeats(docs, length=PASSAGE_BYTES, keep_first=True, aligned=True)
+    out = out.withColumn("text", F.col("kept").cast("string"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts, and a digest of what they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, outputs=("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 
 #: The stages learn a model, compare signatures and tokenize; SQL can't express that, so a test holds the rows against brute force.
 ORACLE_SQL = None

@@ -287,23 +287,27 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _encode(path: str, pattern: str, digests: bool):
+OUTPUTS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def _encode(path: str, pattern: str, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        makes = {
+            "n_tokens": len,
+            "ids": lambda ids: ids,
+            "ids_sha256": lambda ids: hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest(),
+            "decoded_sha256": lambda ids: hashlib.sha256(c.decode_bytes(ids)).hexdigest(),
+        }
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                n, ids_out, digest, decoded = [], [], [], []
+                columns = {o: [] for o in outputs}
                 for text in part.column("text").to_pylist():
                     ids = c.encode(text or "")
-                    n.append(len(ids))
-                    if digests:
-                        digest.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                        decoded.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-                    else:
-                        ids_out.append(ids)
-                new = [pa.array(digest, pa.string()), pa.array(decoded, pa.string())] if digests else [pa.array(ids_out, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *new], ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])])
+                    for o in outputs:
+                        columns[o].append(makes[o](ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[o], OUTPUTS[o]) for o in outputs)], ["doc_id", *outputs])
 
     return run
 
@@ -318,20 +322,15 @@ def _decode(path: str, pattern: str):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of whole texts."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, *, outputs: tuple[str, ...] = ("n_tokens", "ids"), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and outputs for whole texts: n_tokens, ids, ids_sha256, and decoded_sha256, which decodes the ids again."""
     ship(docs.sparkSession)
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(path, pattern, False), f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids array<int>")
+    sql = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+    schema = ", ".join([f"doc_id {docs.schema[key].dataType.simpleString()}", *(f"{o} {sql[o]}" for o in outputs)])
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(path, pattern, outputs), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
     ship(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path, pattern), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
-
-
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts encoded, the ids decoded, both only as digests."""
-    ship(docs.sparkSession)
-    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(path, pattern, True), schema)

@@ -60,7 +60,8 @@ def op3_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=outputs)
 
 
 @query

@@ -38,8 +38,10 @@ TRIGRAMS = 4096
 VOCABULARY = 20_000
 SAMPLE = 4000
 FOLDS = 5
-EPOCHS = 5
-BATCH = 256
+#: Rounds over the sample at least, and updates at least: a small sample is gone over more often.
+EPOCHS, UPDATES = 5, 240
+BATCH = 128
+RATE = 0.02
 #: Distinct words whose gate inputs a worker remembers.
 REMEMBERED = 250_000
 
@@ -206,7 +208,7 @@ def _cut(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, mask.astype(np.float32), doc
 
 
-def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, updates: int = UPDATES, seed: int = 7) -> Network:
     """A network for the labels; deterministic."""
     split_ = [split(t) for t in texts]
     seen = Counter(w for t in split_ for w in set(t))
@@ -223,14 +225,16 @@ def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: in
     word = np.array([net.words.get(w, 0) for w in distinct] or [0])
     ids, mask, doc = _cut(rows)
     y = np.array(labels, np.float32)
-    adam = Adam(net.p, 0.02)
+    adam = Adam(net.p, RATE)
     net.p["bias"][:] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
 
     def layer() -> tuple[np.ndarray, np.ndarray]:
         x = np.concatenate([net.p["word"][word], np.add.reduceat(net.p["char"][flat], first) / n[:, None].astype(np.float32)], 1)
         return x, x @ net.p["wx"] + net.p["bx"]
 
-    for epoch in range(epochs):
+    epoch = 0
+    while epoch < epochs or adam.t < updates:
+        adam.rate = RATE * max(0.1, 1 - 0.9 * min(adam.t / updates, 1))
         x, table = layer()
         if epoch == 0:
             pick = r.permutation(len(doc))
@@ -252,7 +256,7 @@ def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: in
             grad["word"] = add_rows(net.p["word"].shape, word[used], dx[:, :WORD_DIM])
             grad["char"] = add_rows(net.p["char"].shape, flat[ends], np.repeat(dx[:, WORD_DIM:] / nn[:, None].astype(np.float32), nn, 0))
             adam.step(grad)
-        adam.rate *= 0.8
+        epoch += 1
     return net
 
 
