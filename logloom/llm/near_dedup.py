@@ -9,11 +9,13 @@
    as soon as the posterior probability that its similarity reaches the
    threshold, given the agreements so far, falls below the miss probability.
    Pairs that survive are verified on their full shingle sets.
-4. Links give components. Two classes that share a bucket but not a component
-   are then compared as well, in rounds: each class first with the member of
-   each other component in its bucket that looks most alike, until a round links
-   nothing more, and last with every member that survives the bounds. Within a
-   component nothing is left to find, so no group is expanded into all pairs.
+4. Links give components. Within a component nothing is left to find; buckets
+   that span several are searched further. In rounds, each class is verified
+   with the one member of another component that looks most alike in its blocks
+   of the buckets (blocks are dealt anew each round), which joins dense groups
+   as Boruvka's algorithm does, until a round links nothing. Last, every two
+   members of different components that share a bucket and survive the bounds
+   are verified, each pair once, from its first common band.
 
 Defined results: null or empty texts and texts of white space have the empty
 set, which links with nothing; rows that share a doc_id count as one document;
@@ -34,12 +36,13 @@ from pyspark.sql import functions as F
 
 from logloom.llm.components import components
 from logloom.llm.textvec import M1, chunks, mix, shingles, sorted_set, utf8, words
-from logloom.tables import drop_materialized, materialize, ship
+from logloom.tables import materialize, ship
 
 BAND_ROWS = 5
 #: Hashes of the signature that verification reads, and how many it reads at a time.
-VERIFY, BATCH = 96, 16
+VERIFY, BATCH = 256, 32
 MISS = 1e-5
+PRUNE = 1e-4
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 
@@ -76,7 +79,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _features(k: int, bands: int, key: str, text: str):
-    """Rows (doc_id, cls, n_shingles, bands array<long>, sig binary) of texts."""
+    """Rows (doc_id, cls, n_shingles, bands array<long>, short binary: the bands' low 32 bits, sig binary) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +87,7 @@ def _features(k: int, bands: int, key: str, text: str):
             for i, sets in _sets(texts, k):
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
-                keys, sigs = [None] * len(sets), [None] * len(sets)
+                keys, short, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if len(full):
                     starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                     m = minima(np.concatenate([sets[f] for f in full]), starts, bands * BAND_ROWS + VERIFY)
@@ -93,16 +96,17 @@ def _features(k: int, bands: int, key: str, text: str):
                         acc = mix(acc * np.uint64(M1) + m[r : bands * BAND_ROWS : BAND_ROWS])
                     low = np.ascontiguousarray((mix(m[bands * BAND_ROWS :].astype(np.uint64)) & np.uint64(255)).astype(np.uint8).T)
                     for f, b, s in zip(full, np.ascontiguousarray(acc.T).view(np.int64), low, strict=True):
-                        keys[f], sigs[f] = b, s.tobytes()
+                        keys[f], short[f], sigs[f] = b, b.astype(np.int32).tobytes(), s.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, len(sets)).cast(pa.int64()),
                         pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(size),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(short, pa.binary()),
                         pa.array(sigs, pa.binary()),
                     ],
-                    ["doc_id", "cls", "n_shingles", "bands", "sig"],
+                    ["doc_id", "cls", "n_shingles", "bands", "short", "sig"],
                 )
 
     return run
@@ -156,25 +160,52 @@ def _prune(threshold: float, miss: float):
     return run
 
 
-def _rival_pairs(threshold: float, miss: float, best: bool):
-    """In one block pair of a bucket: classes of different components that may be linked."""
+def _fits(size: np.ndarray, one: int, threshold: float) -> np.ndarray:
+    """Sets whose sizes allow the threshold."""
+    return np.minimum(size, one) >= threshold * np.maximum(size, one) - 1e-9
+
+
+def _most_alike(threshold: float, miss: float):
+    """In one block of a bucket: each class with the likeliest class of another component."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        node, comp, size = (t.column(c).to_numpy() for c in ("node", "component", "size"))
+        sig = _matrix(t.column("sig").combine_chunks())
+        xs, ys, agree = [], [], []
+        need = _enough(threshold, miss)[-1]
+        for i in range(len(node)):
+            js = np.flatnonzero((comp != comp[i]) & _fits(size, size[i], threshold))
+            if len(js):
+                same = (sig[js] == sig[i]).sum(1)
+                j = int(np.lexsort((node[js], -same))[0])
+                if same[j] >= need:
+                    xs.append(node[i]), ys.append(node[js[j]]), agree.append(same[j])
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64()), "agree": pa.array(agree, pa.int64())})
+
+    return run
+
+
+def _rival_pairs(threshold: float, miss: float):
+    """In one block pair of a bucket: classes of different components that may be linked and share no earlier band."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        node, comp, side = (t.column(c).to_numpy() for c in ("node", "component", "side"))
+        node, comp, size, side = (t.column(c).to_numpy() for c in ("node", "component", "size", "side"))
         sig = _matrix(t.column("sig").combine_chunks())
+        band = t.column("band")[0].as_py()
+        short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.int32).reshape(len(node), -1)[:, :band]
         one = key[1].as_py() == key[2].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
         us, vs = [], []
         for i in left:
-            js = right[comp[right] != comp[i]]
-            js = js[plausible(np.repeat(sig[i : i + 1], len(js), 0), sig[js], threshold, miss)]
-            if best and len(js):  # the likeliest member of each other component
-                alike = (sig[js] == sig[i]).sum(1)
-                order = np.lexsort((node[js], -alike, comp[js]))
-                js = js[order]
-                js = js[np.concatenate([[True], comp[js][1:] != comp[js][:-1]])]
-            us.append(np.minimum(node[js], node[i]))
-            vs.append(np.maximum(node[js], node[i]))
+            js = right[(comp[right] != comp[i]) & _fits(size[right], size[i], threshold)]
+            if one:
+                js = js[node[js] > node[i]]
+            if band and len(js):
+                js = js[~(short[js] == short[i]).any(1)]
+            if len(js):
+                js = js[plausible(np.broadcast_to(sig[i], (len(js), VERIFY)), sig[js], threshold, miss)]
+                us.append(np.minimum(node[js], node[i]))
+                vs.append(np.maximum(node[js], node[i]))
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -216,58 +247,69 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Data
     return pairs.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(_linked(threshold), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, miss: float = MISS, key: str = "doc_id", text: str = "text", max_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, miss: float = MISS, prune: float = PRUNE, key: str = "doc_id", text: str = "text", max_rounds: int = 6) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id it is linked with, over any number of links)."""
     ship(docs.sparkSession)
     bands = n_bands(threshold, miss=miss)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    features = materialize(rows.mapInArrow(_features(k, bands, "doc_id", "text"), "doc_id long, cls binary, n_shingles long, bands array<long>, sig binary"))
-    classes = features.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = materialize(classes)
-    buckets = classes.select("node", F.explode("bands").alias("bucket")).distinct()
+    features = materialize(rows.mapInArrow(_features(k, bands, "doc_id", "text"), "doc_id long, cls binary, n_shingles long, bands array<long>, short binary, sig binary"))
+    some = features.where("cls IS NOT NULL AND doc_id IS NOT NULL")
+    classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "short", "sig")]))
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("_last")).where("v <> _last").drop("_last")
-    buckets = materialize(buckets.join(shared, "bucket").select("bucket", "node", "v"))
-    sigs = classes.select("node", "sig")
+    buckets = materialize(buckets.join(shared, "bucket").select("bucket", "band", "node", "v"))
+    signed = classes.select("node", F.col("n_shingles").alias("size"), "sig", "short")
     texts = rows.select(F.col("doc_id").alias("node"), "text")
 
     stars = buckets.where("node <> v").select(F.col("v").alias("u"), F.col("node").alias("v")).distinct()
-    su, sv = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "uv")
-    pairs = materialize(stars.join(su, "u").join(sv, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_prune(threshold, miss), "u long, v long"))
+    su, sv = (signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("size").alias(f"size_{c}")) for c in "uv")
+    fits = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * threshold - 1e-9
+    pairs = materialize(stars.join(su, "u").join(sv, "v").where(fits).select("u", "v", "sig_u", "sig_v").mapInArrow(_prune(threshold, prune), "u long, v long"))
     links = materialize(verify(pairs, texts, threshold, k))
-    tried = pairs
-    found = components(links)
+    tried, found = pairs, components(links)
     for round_ in range(max_rounds):
-        rivals = _rivals(buckets, sigs, found)
-        if rivals is None:
+        members = _mixed(buckets, signed, found)
+        if members is None:
             break
-        best = round_ < max_rounds - 1
-        more = rivals.groupBy("bucket", "i", "j").applyInArrow(_rival_pairs(threshold, miss, best), "u long, v long").distinct()
-        pairs = materialize(more.join(tried, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            if best:
-                continue
+        near = members.withColumn("i", F.pmod(F.xxhash64("node", F.lit(round_)), F.col("blocks")).cast("int")).drop("blocks", "short", "band")
+        near = near.groupBy("bucket", "i").applyInArrow(_most_alike(threshold, prune), "x long, y long, agree long")
+        near = near.groupBy("x").agg(F.max(F.struct("agree", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+        new = near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        tried, more = _try(new, tried, texts, threshold, k)
+        if more is None:
             break
-        new = materialize(verify(pairs, texts, threshold, k))
-        tried = tried.unionByName(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
-    drop_materialized(buckets)
-    found = found.select(F.col("node"), F.col("component"))
+        links = links.unionByName(more)
+        found = components(links)
+    members = _mixed(buckets, signed, found)
+    if members is not None:
+        new = _block_pairs(members).groupBy("bucket", "i", "j").applyInArrow(_rival_pairs(threshold, prune), "u long, v long").distinct()
+        tried, more = _try(new, tried, texts, threshold, k)
+        if more is not None:
+            found = components(links.unionByName(more))
     by_class = classes.select("cls", "node").join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     out = features.select("doc_id", "cls", "n_shingles").join(by_class, "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _rivals(buckets: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Members of buckets that span components, dealt to pairs of blocks; None if there are none."""
-    placed = buckets.join(found.select(F.col("node"), "component"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+def _try(new: DataFrame, tried: DataFrame, texts: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs tried by now, and the links among those that are new (None if there are none)."""
+    pairs = materialize(new.join(tried, ["u", "v"], "left_anti"))
+    if pairs.isEmpty():
+        return tried, None
+    links = materialize(verify(pairs, texts, threshold, k))
+    return tried.unionByName(pairs), None if links.isEmpty() else links
+
+
+def _mixed(buckets: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Members of the buckets that span components, with the number of blocks of each; None if there are none."""
+    placed = buckets.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-    members = placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    if members.isEmpty():
-        return None
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = members.withColumn("i0", block).join(sigs, "node")
-    # Block b meets every block once: as i with j >= b, and as j with i < b.
-    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("i0", o).alias("i"), F.greatest("i0", o).alias("j"), F.when(F.col("i0") <= o, 0).otherwise(1).alias("side")))
-    return members.select("bucket", "node", "component", "sig", F.explode(dealt).alias("d")).select("bucket", "node", "component", "sig", "d.i", "d.j", "d.side")
+    members = materialize(placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"))
+    return None if members.isEmpty() else members.join(signed, "node")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Members dealt to all pairs of blocks: block b meets b and every other block once, as i with b <= j and as j with i < b."""
+    members = members.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))
+    return members.select("bucket", "band", "node", "component", "size", "sig", "short", F.explode(dealt).alias("d")).select("bucket", "band", "node", "component", "size", "sig", "short", "d.*")
