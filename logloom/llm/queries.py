@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, decontaminate, near_dedup, ordered_minhash, repeats, sharding, templates, toxicity, urlfilter
+from logloom.llm import bpe, decontaminate, language, near_dedup, ordered_minhash, repeats, sharding, templates, toxicity, urlfilter
 from logloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
