@@ -18,11 +18,11 @@ def test_main_text():
 
 
 def test_pages(spark):
-    html = lambda i: f'<html><body><div class="top">Site</div><div class="story"><p>Body {i} of the page, long enough to matter.</p><p>Same</p></div><div class="foot">All rights</div></body></html>'
+    html = lambda i: f'<html><body><div class="top">Site</div><div class="story"><p>Body {i} of the page, which is long enough to hold most of what there is to read on it.</p><p>Same</p></div><div class="foot">All rights</div></body></html>'
     rows = [(i, f"http://h.org/{i}", html(i)) for i in range(6)] + [(7, None, None), (8, "http://x.org/", ""), (9, "http://lone.net/a", PAGE), (9, "http://lone.net/a", PAGE)]
     d = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, n_chars int")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in templates.extract_pages(d).collect()), key=str)
-    want = [(i, f"Body {i} of the page, long enough to matter.\n\nSame", None) for i in range(6)] + [(7, "", None), (8, "", None), (9, WANT, None), (9, WANT, None)]
+    want = [(i, f"Body {i} of the page, which is long enough to hold most of what there is to read on it.\n\nSame", None) for i in range(6)] + [(7, "", None), (8, "", None), (9, WANT, None), (9, WANT, None)]
     assert got == sorted([(i, t, len(t)) for i, t, _ in want], key=str)
     assert templates.extract_pages(d.limit(0)).count() == 0
 
