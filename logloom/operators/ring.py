@@ -38,11 +38,12 @@ def arcs(ring_: DataFrame) -> DataFrame:
     that keys meet arcs in an equi-join on that byte with a residual.
     """
     w = Window.orderBy("pos")  # as many rows as the ring has positions
-    cut = ring_.select("node", F.lag("pos").over(w).alias("lo"), F.col("pos").alias("hi"))
-    first = cut.where("lo IS NULL").select("node", F.lit("").alias("lo"), "hi")
-    last = ring_.agg(F.max("pos").alias("lo"))
-    wrap = first.select("node").crossJoin(last).select("node", "lo", F.lit("g").alias("hi"))  # one row by one row
-    all_ = cut.where("lo IS NOT NULL").unionByName(first).unionByName(wrap)
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = ring_.select("node", F.lag("pos").over(w).alias("lo"), F.col("pos").alias("hi"), F.last("pos").over(everything).alias("end"))
+    arc = lambda lo, hi: F.struct(F.coalesce(lo, F.lit("")).alias("lo"), hi.alias("hi"))
+    own = arc(F.col("lo"), F.col("hi"))
+    wrapped = F.when(F.col("lo").isNull(), F.array(own, arc(F.col("end"), F.lit("g")))).otherwise(F.array(own))
+    all_ = cut.select("node", F.explode(wrapped).alias("a")).select("node", "a.*")
     byte = lambda c: F.conv(F.rpad(F.substring(c, 1, 2), 2, "0"), 16, 10).cast("int")
     top = F.explode(F.sequence(byte(F.col("lo")), F.when(F.col("hi") == "g", 255).otherwise(byte(F.col("hi")))))
     return all_.select("node", "lo", "hi", top.alias("top"))
