@@ -167,6 +167,13 @@ class Store:
         rows = rows.select("key", F.lit(VALUE).alias("kind"), "value", F.lit(watermark).cast("long").alias("seq"))
         return self._commit(now, watermark=watermark, generations=[] if rows.isEmpty() else [self._write(rows)])
 
+    def resync(self, rows: DataFrame, watermark: int) -> dict:
+        """Replace everything by a snapshot, in one change of the manifest: readers see all of the old state or all of the new."""
+        if watermark < 0:
+            raise ValueError("a snapshot needs a watermark of 0 at least")
+        rows = rows.select("key", F.lit(VALUE).alias("kind"), "value", F.lit(watermark).cast("long").alias("seq"))
+        return self._commit(self.manifest(), watermark=watermark, generations=[] if rows.isEmpty() else [self._write(rows)])
+
     def tail(self, log: DataFrame) -> DataFrame:
         """The log records that no generation reflects."""
         return log.where(F.col("seq") > self.manifest()["watermark"])

@@ -62,3 +62,26 @@ def amplification(flushed_bytes: Column, logical_bytes: Column) -> Column:
 def report(df: DataFrame, path: str) -> None:
     """One headered CSV per partition, quoted where needed."""
     df.write.csv(path, header=True, quote='"', escape='"', mode="overwrite")
+
+
+def failover(timeline: DataFrame, by: str = "run") -> DataFrame:
+    """timeline(run, event, ts) with KILLED, ELECTED, READY and FIRST_WRITE -> seconds from the kill to each; null for what never came.
+
+    The first event of a kind after the kill counts.
+    """
+    killed = timeline.where(F.col("event") == "KILLED").groupBy(by).agg(F.min("ts").alias("_killed"))
+    after = timeline.join(killed, by).where(F.col("ts") >= F.col("_killed"))
+    first = lambda kind: F.min(F.when(F.col("event") == kind, F.col("ts")))
+    out = after.groupBy(by).agg(F.first("_killed").alias("_killed"), *[first(k).alias(f"_{k}") for k in ("ELECTED", "READY", "FIRST_WRITE")])
+    seconds = lambda c: F.expr(f"timestampdiff(MICROSECOND, _killed, {c})") / 1e6
+    return out.select(by, seconds("_ELECTED").alias("election_s"), seconds("_READY").alias("transition_s"), seconds("_FIRST_WRITE").alias("first_write_s"))
+
+
+def throughput_report(samples: DataFrame, experiment: str, description: str, mode: str, warmup_ops: int, value_size: int) -> DataFrame:
+    """samples(op_type, concurrency, run_index, started, ended, latency_ns) -> report rows in the order of THROUGHPUT_COLUMNS."""
+    by = ["op_type", "concurrency", "run_index"]
+    t = throughput(samples, "started", "ended", by).select(*by, F.col("ops").alias("measured_ops"), F.col("seconds").alias("elapsed_seconds"), F.col("ops_per_sec").alias("throughput_ops_per_sec"))
+    ms = {"avg": "avg_latency_ms", "p50": "p50_latency_ms", "p95": "p95_latency_ms", "p99": "p99_latency_ms", "max": "max_latency_ms"}
+    stats = latency_stats(samples, "latency_ns", by).select(*by, *[(F.col(a) / 1e6).alias(b) for a, b in ms.items()])
+    fixed = {"experiment_id": F.lit(experiment), "description": F.lit(description), "timestamp": F.current_timestamp(), "mode": F.lit(mode), "warmup_ops": F.lit(warmup_ops), "value_size_bytes": F.lit(value_size)}
+    return t.join(stats, by).withColumns(fixed).select(*THROUGHPUT_COLUMNS)

@@ -31,6 +31,22 @@ def ring(spark: SparkSession, nodes: Sequence[str] | DataFrame, vnodes: int = VN
     return rows.groupBy("pos").agg(F.max(F.struct("node", "vnode")).alias("m")).select("m.node", "m.vnode", "pos")
 
 
+def with_node(ring_: DataFrame, node: str, vnodes: int = VNODES) -> DataFrame:
+    """The ring and one node more; adding a node twice changes nothing."""
+    both = ring_.unionByName(ring(ring_.sparkSession, [node], vnodes))
+    return both.groupBy("pos").agg(F.max(F.struct("node", "vnode")).alias("m")).select("m.node", "m.vnode", "pos")
+
+
+def without_node(ring_: DataFrame, node: str) -> DataFrame:
+    return ring_.where(F.col("node") != node)
+
+
+def replace_addresses(topology: DataFrame, changes: DataFrame) -> DataFrame:
+    """topology(node, host, port) after changes of the same columns: a null host removes a node, others are added or replaced."""
+    kept = topology.join(changes.select("node"), "node", "left_anti")
+    return kept.unionByName(changes.where(F.col("host").isNotNull()).select(*topology.columns))
+
+
 def arcs(ring_: DataFrame) -> DataFrame:
     """(node, lo, hi, top): lo < position <= hi belongs to node, by the arc's first byte or bytes it spans.
 

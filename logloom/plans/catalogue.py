@@ -536,6 +536,16 @@ def throughput_by_day(spark, sf):
     return measures.throughput(e, "ts", "ts", ["day"])
 
 
+FAILOVER_SQL = "CASE event_type WHEN 'error' THEN 'KILLED' WHEN 'signup' THEN 'ELECTED' WHEN 'view' THEN 'READY' WHEN 'purchase' THEN 'FIRST_WRITE' ELSE 'OTHER' END"
+
+
+@query(f"""WITH t AS (SELECT user_id AS run, {FAILOVER_SQL} AS event, ts FROM events), k AS (SELECT run, min(ts) AS killed FROM t WHERE event = 'KILLED' GROUP BY run)
+SELECT run, date_diff('microsecond', any_value(killed), min(ts) FILTER (event = 'ELECTED')) / 1e6 AS election_s, date_diff('microsecond', any_value(killed), min(ts) FILTER (event = 'READY')) / 1e6 AS transition_s,
+  date_diff('microsecond', any_value(killed), min(ts) FILTER (event = 'FIRST_WRITE')) / 1e6 AS first_write_s FROM t JOIN k USING (run) WHERE ts >= killed GROUP BY run""")
+def failover_times(spark, sf):
+    return measures.failover(table(spark, sf, "events").select(F.col("user_id").alias("run"), F.expr(FAILOVER_SQL).alias("event"), "ts"))
+
+
 @query("SELECT i, 'PUT' AS op, printf('w-%010d', i) AS key FROM range(1000) t(i)")
 def workload_keys(spark, sf):
     return measures.puts(spark, "w", 1000, 100).select("i", "op", "key")

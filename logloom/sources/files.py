@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import codecs
+from logloom.schema import ERRORS
 from logloom.tables import ship
 
 
@@ -81,3 +82,16 @@ def read_cluster_config(spark: SparkSession, path: str, fields: list[str]) -> Da
     if twice or out.isEmpty():
         raise ValueError("repeated node" if twice else "no nodes")
     return out
+
+
+def classify_frames(frames: DataFrame, max_frame: int = codecs.MAX_FRAME_BYTES, max_key: int = codecs.MAX_KEY_BYTES) -> DataFrame:
+    """frames(id, payload) -> (id, outcome, error): what a server answers to each request frame."""
+    ship(frames.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            outcome = [codecs.classify_frame(x or b"", max_frame, max_key) for x in b.column("payload").to_pylist()]
+            error = [0 if o == "OK" else ERRORS[o] for o in outcome]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(outcome, pa.string()), pa.array(error, pa.int32())], ["id", "outcome", "error"])
+
+    return frames.select(F.col("id").cast("long").alias("id"), "payload").mapInArrow(run, "id long, outcome string, error int")

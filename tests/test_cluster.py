@@ -142,3 +142,26 @@ def test_transcript(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no long, line string")
     got = [r.answer for r in shell.transcript(d.withColumn("s", F.lit(1)), ["s"]).orderBy("line_no").collect()]
     assert got == ["OK", "a b c", "OK (removed)", "(nil)", "OK (not found)", "OK", "OK (previous value replaced)", shell.PUT_USAGE, shell.PUT_USAGE, shell.GET_USAGE, shell.GET_SPACES, "", "Unknown command: NOPE. Type HELP for a list of commands.", shell.HELP, shell.BYE]
+
+
+def test_ring_edits_and_addresses(spark):
+    r = ring.ring(spark, ["A", "B"])
+    three = ring.with_node(r, "C")
+    assert three.exceptAll(ring.ring(spark, ["A", "B", "C"])).count() == 0 and three.count() == 384
+    assert ring.with_node(three, "C").count() == 384
+    assert ring.without_node(three, "C").exceptAll(r).count() == 0
+    t = spark.createDataFrame([("a", "h1", 1), ("b", "h2", 2)], "node string, host string, port int")
+    c = spark.createDataFrame([("b", "h9", 9), ("a", None, None), ("c", "h3", 3)], "node string, host string, port int")
+    assert sorted((x.node, x.host) for x in ring.replace_addresses(t, c).collect()) == [("b", "h9"), ("c", "h3")]
+
+
+def test_reports(spark):
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [("GET", 1, 0, t0 + dt.timedelta(seconds=i), t0 + dt.timedelta(seconds=i + 1), 1_000_000 * (i + 1)) for i in range(10)]
+    d = spark.createDataFrame(rows, "op_type string, concurrency int, run_index int, started timestamp, ended timestamp, latency_ns long")
+    out = measures.throughput_report(d, "E1", "baseline", "LOCAL", 5, 100)
+    r = out.first()
+    assert out.columns == measures.THROUGHPUT_COLUMNS and (r.measured_ops, r.elapsed_seconds, r.throughput_ops_per_sec, r.p50_latency_ms, r.max_latency_ms) == (10, 10.0, 1.0, 5.0, 10.0)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    f = spark.createDataFrame([(1, "ELECTED", at(0)), (1, "KILLED", at(1)), (1, "ELECTED", at(1.5)), (1, "READY", at(2)), (2, "READY", at(3))], "run long, event string, ts timestamp")
+    assert [tuple(x) for x in measures.failover(f).collect()] == [(1, 0.5, 1.0, None)]

@@ -101,3 +101,8 @@ def test_cluster_config(spark, tmp_path):
     p.write_text("n1 h 1 2\nn1 h 3 4\n")
     with pytest.raises(ValueError):
         files.read_cluster_config(spark, str(p), ["id", "host", "a", "b"])
+
+
+def test_frames_as_rows(spark):
+    d = spark.createDataFrame([(1, bytearray(codecs.encode_request("GET", "k"))), (2, bytearray(b"")), (3, None), (4, bytearray(b"\xff\xff\xff\xff"))], "id long, payload binary")
+    assert {r.id: (r.outcome, r.error) for r in files.classify_frames(d).collect()} == {1: ("OK", 0), 2: ("MALFORMED_REQUEST", 1), 3: ("MALFORMED_REQUEST", 1), 4: ("OVERSIZED_REQUEST", 3)}

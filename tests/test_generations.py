@@ -88,3 +88,11 @@ def test_merge_equals_compaction_equals_replay(spark, sf):
         for k, kind, v in codecs.decode_table(bytes(r.table)):
             state_[k] = v if kind == "VALUE" else None
     assert sorted((k, v.decode()) for k, v in state_.items() if v is not None) == want
+
+
+def test_resync_replaces_everything_at_once(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "r"))
+    s.flush(df(spark, [(1, "PUT", "old", bytearray(b"1"))]))
+    s.resync(spark.createDataFrame([("new", bytearray(b"2"))], "key string, value binary"), 40)
+    assert {r.key for r in s.read().collect()} == {"new"} and s.next_seq() == 41
+    assert [r.seq for r in s.tail(df(spark, [(40, "PUT", "a", bytearray(b"")), (41, "PUT", "b", bytearray(b""))])).collect()] == [41]
