@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,44 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize() writes inside are deleted at the end, but for those given to the yielded function.
+
+    What leaves the block must be such a table, or read none of the others.
+    """
+    mine: list[str] = []
+    _scratch.append(mine)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        kept.append(mine.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        if _scratch:
+            _scratch[-1].extend(kept)
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_materialized(*frames: DataFrame) -> None:
     """Delete the files behind frames that materialize() returned and that nothing reads any more."""
     for df in frames:
@@ -41,8 +78,7 @@ def drop_materialized(*frames: DataFrame) -> None:
         root = f"{checkpoint_dir(spark)}/tables/".split(":", 1)[-1]
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if root in path:
-                hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-                hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+                _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
