@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.components import components
 from logloom.llm.textvec import M1, chunks, mix, shingles, sorted_set, utf8, words
-from logloom.tables import materialize, ship
+from logloom.tables import materialize, scratch, ship
 
 BAND_ROWS = 5
 #: Hashes of the signature that verification reads, and how many it reads at a time.
@@ -248,8 +248,16 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = 5, miss: float = MISS, prune: float = PRUNE, key: str = "doc_id", text: str = "text", max_rounds: int = 6) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id it is linked with, over any number of links)."""
+    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id it is linked with, over any number of links).
+
+    The result is a written table of three numbers a row; all other tables are deleted.
+    """
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_groups(docs, threshold, k, miss, prune, key, text, max_rounds))
+
+
+def _groups(docs: DataFrame, threshold: float, k: int, miss: float, prune: float, key: str, text: str, max_rounds: int) -> DataFrame:
     bands = n_bands(threshold, miss=miss)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     features = materialize(rows.mapInArrow(_features(k, bands, "doc_id", "text"), "doc_id long, cls binary, n_shingles long, bands array<long>, short binary, sig binary"))

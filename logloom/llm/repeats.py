@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.anchors import runs
 from logloom.llm.textvec import chunks, prefix_hash, span_hash, utf8
-from logloom.tables import materialize, ship
+from logloom.tables import materialize, scratch, ship
 
 HOT = 20_000
 #: Context bytes that a task puts in suffix order at a time, at least one anchor's.
@@ -189,9 +189,15 @@ def _hot_spans(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
 def repeat_spans(docs: DataFrame, *, length: int, keep_first: bool, hot: int = HOT) -> DataFrame:
     """docs(doc_id, t, text) -> (doc_id, t, spans): for each text with repeats the bytes to remove, spans may overlap.
 
-    doc_id has no nulls here; t tells texts with one doc_id apart.
+    doc_id has no nulls here; t tells texts with one doc_id apart. The result is
+    a written table; all other tables are deleted.
     """
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_find_spans(docs, length, keep_first, hot))
+
+
+def _find_spans(docs: DataFrame, length: int, keep_first: bool, hot: int) -> DataFrame:
     scan = materialize(docs.where(F.octet_length("text") >= length).mapInArrow(_scan(length), "doc_id long, t long, occ array<struct<h: long, c: long, lo: int, hi: int>>"))
     occ = scan.select("doc_id", "t", F.explode("occ").alias("o")).select("doc_id", "t", "o.*")
     again = scan.select(F.explode("occ.h").alias("h")).groupBy("h").count().where("count > 1").select("h")
