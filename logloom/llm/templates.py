@@ -9,13 +9,18 @@ host's pages. Paths order tokens, so the valid classes whose tokens occur once a
 page nest into the host's template: containers, what they contain, and between
 them the slots that vary.
 
-A template's main slot is its innermost container that holds most of the text
-which isn't in a container of the wrong kind (menus, headers, footers, sidebars,
-notices, adverts, forms, comments: by element, role, class or id), an article or
-main element first. All hosts together have a template as well, for hosts with
-fewer than two pages. A page without its template's main slot is read from its
-own article or main element, or else from its body without text nodes that the
-template repeats. Inside the main slot every text stays, repeated or not.
+A path that directly holds text is a slot, unless it is in a container of the
+wrong kind (menus, headers, footers, sidebars, notices, adverts, forms, comments:
+by element, role, class or id). It varies if any of its text isn't a member of a
+valid class. A template's main slot is its outermost article or main element if
+that holds more of the varying text than lies outside it, else the innermost
+container that holds every slot that varies, on however few pages. In an article
+or main element every text stays; in another container those parts are dropped
+in which nothing varies on any page (site titles, footers). Where nothing varies
+(copies of one page) all slots count as varying. All hosts together have an
+article or main slot as well, for hosts with fewer than two pages. A page
+without its template's main slot is read from its own article or main element,
+or else from its body without text nodes that the template repeats.
 
 Defined results: null and empty html gives an empty text; a null url belongs to
 the empty host; repeated rows each get a row; entities without a semicolon are
@@ -38,7 +43,6 @@ from logloom.llm.urlfilter import url_host
 from logloom.tables import materialize, ship
 
 MIN_CLASS, SUPPORT = 3, 0.6
-MAIN_SHARE = 0.8
 #: Templates are broadcast up to so many hosts; with more, pages are dealt by host and salt.
 BROADCAST_HOSTS, SALT = 20_000, 32
 ALL_HOSTS = "*"
@@ -125,20 +129,20 @@ def text_token(node: Node, raw: str) -> str:
     return f"{node.path}\t{' '.join(raw.split())}"
 
 
-def main_text(page: str, main: str | None = None, noise: frozenset[int] = frozenset()) -> str:
-    """The text of a page's main slot (the container of that path), blocks joined by two newlines."""
+def main_text(page: str, main: str | None = None, noise: frozenset[int] = frozenset(), fixed: frozenset[str] = frozenset()) -> str:
+    """The text of a page's main slot (the container of that path, without the slots `fixed`), blocks joined by two newlines."""
     events = list(read(page))
     paths = {n.path for kind, n, _ in events if kind == "open" and not n.wrong}
     if main not in paths:
         own = [n.path for kind, n, _ in events if kind == "open" and not n.wrong and n.tag in ("article", "main")]
-        main = own[0] if own else None
+        main, fixed = own[0] if own else None, frozenset()
     blocks, now = [], []
     for kind, node, raw in events:
         if kind == "text":
             if node.wrong:
                 continue
             if main is not None:
-                if node.path == main or node.path.startswith(f"{main}/"):
+                if (node.path == main or node.path.startswith(f"{main}/")) and node.path not in fixed:
                     now.append(raw)
             elif not noise or xxhash.xxh64_intdigest(text_token(node, raw)) not in noise:
                 now.append(raw)
@@ -150,62 +154,81 @@ def main_text(page: str, main: str | None = None, noise: frozenset[int] = frozen
 
 
 def _tokens():
-    """(page_id, host, html) -> (host, token, kind, support, v1, v2, once, mass), summed within a batch."""
+    """(page_id, host, html) -> (host, token, kind, slot, support, v1, v2, once, mass), summed within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0, 0])
             for page_id, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html")), strict=True):
-                count: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+                count: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])  # (token, kind, slot) -> [n, characters]
                 for kind, node, raw in read(page or ""):
                     if kind == "open" and node.tag not in HIDDEN:
-                        count[node.path, "wrong" if node.wrong else node.tag][0] += 1
+                        count[node.path, "wrong" if node.wrong else node.tag, 0][0] += 1
                     elif kind == "text" and not raw.isspace():
-                        count[f"{xxhash.xxh64_intdigest(text_token(node, raw))}", "text"][0] += 1
+                        slot = xxhash.xxh64_intdigest(node.path) >> 1
+                        text = count[f"{xxhash.xxh64_intdigest(text_token(node, raw))}", "text", slot]
+                        text[0] += 1
                         if not node.wrong:
-                            path = node.path
-                            while path:  # what the containers around it hold
-                                count[path, "mass"][1] += len(raw)
-                                path = path.rpartition("/")[0]
+                            text[1] += len(raw)
+                            held = count[node.path, "#slot", slot]
+                            held[0] += 1
+                            held[1] += len(raw)
                 for h in (host, ALL_HOSTS):
-                    found[h, "", "page"][0] += 1
-                for (token, kind), (n, mass) in count.items():
+                    found[h, "", "page", 0][0] += 1
+                for (token, kind, slot), (n, mass) in count.items():
                     digest = xxhash.xxh64_intdigest(f"{page_id}\t{n}")
-                    for h in (host, ALL_HOSTS) if kind != "text" else (host,):
-                        f = found[h, token, kind]
+                    for h in (host, ALL_HOSTS) if slot == 0 else (host,):
+                        f = found[h, token, kind, slot]
                         f[0] += 1
                         f[1] += digest & 0xFFFFFFFF
                         f[2] += digest >> 32
                         f[3] += n == 1
                         f[4] += mass
             keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([found[k][i] for k in keys], pa.int64()) for i in range(5)], ["host", "token", "kind", "support", "v1", "v2", "once", "mass"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([k[3] for k in keys], pa.int64())] + [pa.array([found[k][i] for k in keys], pa.int64()) for i in range(5)], ["host", "token", "kind", "slot", "support", "v1", "v2", "once", "mass"])
 
     return run
 
 
+def _few(hosts: DataFrame, n: int) -> DataFrame:
+    """A table of one row for each of n hosts, broadcast under the bound."""
+    return F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """pages(page_id, host, html) -> (host, main, noise): the main slot's path and the hashes of repeated texts.
+    """pages(page_id, host, html) -> (host, main, noise, fixed): the main slot's path, the hashes of repeated texts, and the slots that don't count as main.
 
     One row for each host; a host's row holds tokens that SUPPORT of its pages
     have, so it is as long as a page at most, times 1 / SUPPORT.
     """
-    sums = pages.mapInArrow(_tokens(), "host string, token string, kind string, support long, v1 long, v2 long, once long, mass long")
-    tokens = materialize(sums.groupBy("host", "token", "kind").agg(*[F.sum(c).alias(c) for c in ("support", "v1", "v2", "once", "mass")]))
+    sums = pages.mapInArrow(_tokens(), "host string, token string, kind string, slot long, support long, v1 long, v2 long, once long, mass long")
+    tokens = materialize(sums.groupBy("host", "token", "kind", "slot").agg(*[F.sum(c).alias(c) for c in ("support", "v1", "v2", "once", "mass")]))
     n = tokens.where("kind = 'page'").select("host", F.col("support").alias("pages"))
-    common = tokens.where("kind <> 'page'").join(F.broadcast(n) if n.count() <= BROADCAST_HOSTS else n, "host").where((F.col("pages") >= 2) & (F.col("support") >= SUPPORT * F.col("pages")))
-    classes = common.where("kind <> 'mass'").groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("token", "kind", "support", "once", "pages")).alias("members")).where(F.col("size") >= MIN_CLASS)
-    member = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
-    skeleton = member.where("kind NOT IN ('text', 'wrong') AND once = support")
-    mass = common.where("kind = 'mass'").select("host", "token", "mass")
-    held = skeleton.join(mass, ["host", "token"])
-    most = held.groupBy("host").agg(F.max("mass").alias("most"))
-    held = held.join(most, "host").where(F.col("mass") >= MAIN_SHARE * F.col("most"))
-    preferred = F.col("kind").isin("article", "main").cast("int")
-    depth = F.size(F.split("token", "/"))
-    main = held.groupBy("host").agg(F.max(F.struct(preferred.alias("preferred"), depth.alias("depth"), "token")).alias("best")).select("host", F.col("best.token").alias("main"))
-    noise = member.where("kind = 'text'").groupBy("host").agg(F.collect_set("token").alias("noise"))
-    return main.join(noise, "host", "full_outer").select("host", "main", "noise")
+    hosts = n.count()
+    known = tokens.where("kind <> 'page'").join(_few(n, hosts), "host").where("pages >= 2")
+    common = known.where((F.col("kind") != "#slot") & (F.col("support") >= SUPPORT * F.col("pages")))
+    classes = common.groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("token", "kind", "slot", "support", "once", "mass")).alias("members")).where(F.col("size") >= MIN_CLASS)
+    member = materialize(classes.select("host", F.explode("members").alias("m")).select("host", "m.*"))
+    skeleton = member.where("kind NOT IN ('text', 'wrong') AND once = support").select("host", "token", F.col("kind").isin("article", "main").alias("marked"), F.size(F.split("token", "/")).alias("depth"))
+    same = member.where("kind = 'text'").groupBy("host", "slot").agg(F.sum("mass").alias("same"))
+    slots = known.where("kind = '#slot'").join(same, ["host", "slot"], "left").select("host", "token", "mass", (F.col("mass") - F.coalesce("same", F.lit(0))).alias("varying"))
+    total = slots.groupBy("host").agg(F.sum("varying").alias("all"), F.sum("mass").alias("any"))
+    total = materialize(total.select("host", (F.col("all") > 0).alias("varies"), F.when(F.col("all") > 0, F.col("all")).otherwise(F.col("any")).alias("total")))
+    slots = materialize(slots.join(_few(total, hosts), "host").select("host", "token", F.when(F.col("varies"), F.col("varying")).otherwise(F.col("mass")).alias("varying"), "total"))
+    around = F.transform(F.sequence(F.lit(1), F.size(F.split("token", "/"))), lambda i: F.array_join(F.slice(F.split("token", "/"), F.lit(1), i), "/"))
+    held = slots.where("varying > 0").select("host", F.explode(around).alias("token"), "varying", "total").groupBy("host", "token").agg(F.sum("varying").alias("varying"), F.first("total").alias("total"))
+    first = F.col("marked") & (2 * F.col("varying") > F.col("total"))
+    best = F.max(F.struct(first.alias("first"), F.when(first, -F.col("depth")).otherwise(F.col("depth")).alias("depth"), "token", "marked"))
+    main = skeleton.join(held, ["host", "token"]).where(first | (F.col("varying") == F.col("total"))).groupBy("host").agg(best.alias("best")).select("host", F.col("best.token").alias("main"), F.col("best.marked").alias("marked"))
+    everywhere = skeleton.where((F.col("host") == ALL_HOSTS) & F.col("marked")).groupBy("host").agg(F.min(F.struct("depth", "token")).alias("best")).select("host", F.col("best.token").alias("main"), F.lit(True).alias("marked"))
+    main = materialize(main.unionByName(everywhere))
+    # A slot belongs to the part that begins right below the main slot.
+    rest = F.expr("substring(token, length(main) + 2)")
+    part = F.when(F.col("token") != F.col("main"), F.concat("main", F.lit("/"), F.substring_index(rest, "/", 1)))
+    still = slots.where("varying = 0").join(_few(main.where("NOT marked"), hosts), "host").where((F.col("token") == F.col("main")) | F.expr("startswith(token, concat(main, '/'))"))
+    fixed = still.select("host", F.col("token").alias("slot"), part.alias("token")).join(held, ["host", "token"], "left_anti").groupBy("host").agg(F.collect_set("slot").alias("fixed"))
+    noise = member.where("kind = 'text'").join(_few(total.where("varies"), hosts), "host", "left_semi").groupBy("host").agg(F.collect_set("token").alias("noise"))
+    return main.join(noise, "host", "full_outer").join(fixed, "host", "left").select("host", "main", "noise", "fixed")
 
 
 def _extract():
@@ -213,11 +236,11 @@ def _extract():
         for batch in batches:
             known: dict[tuple, frozenset[int]] = {}
             text = []
-            for page, main, noise in zip(*(batch.column(c).to_pylist() for c in ("html", "_main", "_noise")), strict=True):
+            for page, main, noise, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "_main", "_noise", "_fixed")), strict=True):
                 key = tuple(noise or ())
                 if key not in known:
                     known[key] = frozenset(map(int, key))
-                text.append(main_text(page or "", main, known[key]))
+                text.append(main_text(page or "", main, known[key], frozenset(fixed or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -229,7 +252,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), "html")
     known = materialize(templates(rows.select("page_id", "host", "html")))
     default = known.where(F.col("host") == ALL_HOSTS).select(F.col("main").alias("_all"))
-    known = known.select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("noise").alias("_noise"))
+    known = known.select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("noise").alias("_noise"), F.col("fixed").alias("_fixed"))
     if known.count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(known), F.col("host") == F.col("_host"), "left")
     else:
@@ -238,4 +261,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     first = default.first()
     joined = joined.withColumn("_main", F.coalesce("_main", F.lit(first[0] if first else None).cast("string")))
     types = dict(pages.dtypes)
-    return joined.select("page_id", "url", "html", "_main", "_noise").mapInArrow(_extract(), f"page_id {types['page_id']}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "_main", "_noise", "_fixed").mapInArrow(_extract(), f"page_id {types['page_id']}, url string, text string, n_chars long")

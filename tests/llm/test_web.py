@@ -27,6 +27,32 @@ def test_pages(spark):
     assert templates.extract_pages(d.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    d = spark.createDataFrame([(i, f"http://h.org/{i}", f"<html><body>{x}</body></html>") for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(templates.extract_pages(d).collect(), key=lambda r: r.page_id)]
+
+
+def test_main_slot_holds_all_that_varies_and_no_part_that_only_repeats(spark):
+    # Less than 0.8 of the text varies: site title and footer go, what repeats beside varying text stays.
+    short = [f'<div class="top">Site</div><div class="story"><p>Body {i} of the page, long enough to matter.</p><p>Same</p></div><div class="foot">All rights</div>' for i in range(6)]
+    assert extracted(spark, short) == [f"Body {i} of the page, long enough to matter.\n\nSame" for i in range(6)]
+    # More than 0.8 of it is in one container: headline, intro and tail outside it stay.
+    body = "words of the body " * 20
+    split = [f'<div class="top">Site</div><div class="content"><h1>Headline {i}</h1><div class="body"><p>{i} {body}</p></div><div class="tail">End {i}</div></div><div class="foot">All rights</div>' for i in range(6)]
+    assert extracted(spark, split) == [f"Headline {i}\n\n{i} {body.strip()}\n\nEnd {i}" for i in range(6)]
+    # Varying text with nothing but body around it.
+    apart = [f'<div class="top">Site</div><div class="lead">Lead {i}</div><div class="story"><h2>Intro</h2><p>{i} {body}</p></div><div class="foot">All rights</div>' for i in range(6)]
+    assert extracted(spark, apart) == [f"Lead {i}\n\nIntro\n\n{i} {body.strip()}" for i in range(6)]
+    # A slot that few pages have counts as well.
+    rare = [*split[:5], split[5].replace('<div class="foot">', '<div class="note">Seen once</div><div class="foot">')]
+    assert extracted(spark, rare)[5].endswith("End 5\n\nSeen once") and "Site" not in "".join(extracted(spark, rare))
+    # Copies of one page lose nothing.
+    assert extracted(spark, [split[0]] * 3) == ["Site\n\n" + f"Headline 0\n\n0 {body.strip()}\n\nEnd 0" + "\n\nAll rights"] * 3
+    # An article keeps all its text; a heading of main outside the article stays too.
+    marked = [f'<div class="top">Site</div><main><h1>Headline {i}</h1><article><h2>Intro</h2><p>{i} {body}</p></article></main><div class="x">Seen {i}</div>' for i in range(6)]
+    assert extracted(spark, marked) == [f"Headline {i}\n\nIntro\n\n{i} {body.strip()}" for i in range(6)]
+
+
 def test_salted_join_gives_the_same(spark, sf, monkeypatch):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     one = sorted((r.page_id, r.text) for r in templates.extract_pages(d).collect())
