@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from logloom.llm import language, templates, urlfilter
@@ -94,3 +96,29 @@ def test_language(spark):
     none = spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")
     assert [r.lang for r in language.identify(none).collect()] == [None]
     assert language.identify(none.limit(0)).count() == 0
+
+
+def test_no_language_or_suffix_is_too_rare(spark, monkeypatch):
+    r = random.Random(3)
+    codes = [a + b for a in "abcdefgh" for b in "abcdefghi"] + ["zu"]
+    words = {c: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for c in codes}
+    text = lambda c: " ".join(r.choice(words[c]) for _ in range(60))
+    rows = [(i, f"http://h{i}.org/{i}", f'<html lang="{c}"><body><p>{text(c)}</p></body></html>') for i, c in enumerate([c for c in codes for _ in range(1 if c == "zu" else 3)])]
+    rows.append((1000, "http://new.net/", f"<p>{text('zu')}</p>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {x.page_id: x for x in language.identify(d).collect()}
+    assert one[1000].lang == one[1000].text_lang == "zu" and len({x.lang for x in one.values()}) == len(codes)
+    monkeypatch.setattr(language, "AT_ONCE", 30)
+    monkeypatch.setattr(language, "BROADCAST_NUMBERS", 0)
+    again = {x.page_id: x for x in language.identify(d).collect()}
+    assert len(again) == len(one) and all(again[i].lang == one[i].lang and again[i].posterior == pytest.approx(one[i].posterior) for i in one)
+
+
+def test_a_suffix_beyond_the_commonest_has_its_own_likelihood(spark):
+    page = lambda lang, text: f'<html lang="{lang}"><body><p>{text}</p></body></html>'
+    en, sw, xh = "the and of that with from " * 8, "habari yako kwamba katika nchi " * 8, "ukuba nokuthi ngoko abantu " * 8
+    paths = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstu"][:505]
+    rows = [(i, f"http://h.org/{x}/{i}", page("en", en)) for i, x in enumerate(x for x in paths for _ in range(5))]
+    rows += [(9000 + i, f"http://c{i}.com/{c}/", page(c, t)) for i, (c, t) in enumerate([("sw", sw), ("xh", xh)] * 2)] + [(9100, "http://b1.com/sw/1", ""), (9200, "http://b2.com/xh/1", "")]
+    got = {x.page_id: x.lang for x in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9100] == "sw" and got[9200] == "xh"
