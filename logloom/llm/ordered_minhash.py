@@ -3,18 +3,18 @@
 1. A text's words (split at white space) give k-mers of `K` words (the last
    ones shorter, so that every text has some). Every k-mer gets its occurrence
    number, so the second "a b c" differs from the first.
-2. The `SAMPLE` minimal occurrence-numbered k-mers under one hash are selected;
-   a first occurrence hashes as the k-mer alone, a later one with its number.
-3. Each of `ENTRIES` hashes picks its `TUPLE` minimal ones from these; they are
-   put in text order, and the hash of that tuple is one entry of the signature.
+2. A first occurrence hashes as the k-mer alone, a later one with its number.
+3. Each of `ENTRIES` hashes ranks all occurrence-numbered k-mers of the text and
+   picks its `TUPLE` minimal ones; they are put in text order, and the hash of
+   that tuple is one entry of the signature.
 
 Signatures are sensitive to order as well as content, as edit distance is. The
 likeness of two signatures is the share of their entries that agree.
 
 Everything happens inside one row on arrays, in projections that each keep what
-the next ones use more than once: no k-mer ever becomes a row, sorts and
-distincts run on primitive longs, and only k-mers that repeat or may be minimal
-reach the numbering, which is linear however often one k-mer repeats.
+the next ones use more than once: no k-mer ever becomes a row, minima, sorts and
+distincts run on primitive longs, and only k-mers that repeat reach the
+numbering, which is linear however often one k-mer repeats.
 
 Defined results: null counts as empty; an empty text is one empty k-mer, so all
 empty texts agree with each other; equal texts have equal signatures.
@@ -27,12 +27,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, SAMPLE, ENTRIES, TUPLE = 3, 24, 20, 2
+K, ENTRIES, TUPLE = 3, 20, 2
 #: Rows whose order is settled by one sort when each document is given its successor.
 BUCKET_ROWS = 2048
 
 LOW = (1 << 32) - 1
-INFINITE = (1 << 63) - 1
 
 
 def let(value: Column, body) -> Column:
@@ -59,39 +58,48 @@ def numbered_hash(kmer: Column, occurrence: Column) -> Column:
     return F.when(occurrence == 0, kmer).otherwise(F.xxhash64(kmer, occurrence))
 
 
-def with_signature(df: DataFrame, text: str, out: str, k: int = K, sample: int = SAMPLE, entries: int = ENTRIES, width: int = TUPLE) -> DataFrame:
+def with_signature(df: DataFrame, text: str, out: str, k: int = K, entries: int = ENTRIES) -> DataFrame:
     """`df` with array<int> `out` of `entries` numbers, the signature of column `text`."""
     rest = df.columns
     df = df.withColumn("_w", F.split(text, r"[\x20\x09-\x0D]+"))
     df = df.select(*rest, F.transform("_w", lambda w, i: F.xxhash64(w, *[F.get("_w", i + j) for j in range(1, k)])).alias("_h"))
-    df = df.withColumn("_s", F.sort_array("_h"))
-    df = df.withColumn("_u", F.array_distinct("_s"))
-    repeats = F.size("_u") < F.size("_s")
-    df = df.withColumns({
-        "_t": F.coalesce(F.get("_u", F.lit(sample - 1)), F.lit(INFINITE)),
-        "_e": F.when(repeats, F.filter("_s", lambda x, i: (i > 0) & (x == F.get("_s", i - 1)))),
-    })
-    equal = lambda a, b: a == b
-    later = F.filter(by_run(F.col("_e"), equal, lambda x, n: F.struct(x.alias("x"), F.xxhash64(x, n + 1).alias("key"))), lambda z: z["key"] <= F.col("_t"))
-    df = df.withColumn("_f", F.when(F.size("_e") > 0, F.array_distinct(F.transform(later, lambda z: z["x"]))))
-    # What may be minimal, all occurrences of it, in text order.
-    df = df.withColumn("_m", F.when(F.size("_f") > 0, F.filter("_h", lambda x: (x <= F.col("_t")) | F.array_contains("_f", x))).otherwise(F.filter("_h", lambda x: x <= F.col("_t"))))
-
-    def numbered(m: Column) -> Column:
-        place = F.sort_array(F.transform(m, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        keyed = by_run(place, lambda a, b: a["x"] == b["x"], lambda z, n: F.struct(numbered_hash(z["x"], n).alias("key"), z["i"].alias("i")))
-        least = F.slice(F.sort_array(keyed), 1, sample)
-        return F.transform(F.sort_array(F.transform(least, lambda z: F.struct(z["i"].alias("i"), z["key"].alias("key")))), lambda z: z["key"])
-
-    df = df.withColumn("_c", F.when(repeats, numbered(F.col("_m"))).otherwise(F.col("_m")))
-
-    def entry(j: Column) -> Column:
-        high = F.lit(~LOW)
-        ranked = F.slice(F.sort_array(F.transform("_c", lambda c, i: F.xxhash64(c, j).bitwiseAND(high).bitwiseOR(i.cast("long")))), 1, width)
-        order = F.sort_array(F.transform(ranked, lambda r: r.bitwiseAND(F.lit(LOW)).cast("int")))
-        return F.shiftright(F.xxhash64(F.transform(order, lambda i: F.get("_c", i))), 32).cast("int")
-
-    return df.select(*rest, F.transform(F.sequence(F.lit(1), F.lit(entries)), entry).alias(out))
+    df = df.withColumn("_u", F.array_distinct("_h"))
+    repeats = F.size("_u") < F.size("_h")
+    df = df.withColumn("_s", F.when(repeats, F.sort_array("_h")))
+    df = df.withColumn("_e", F.filter("_s", lambda x, i: (i > 0) & (x == F.get("_s", i - 1))))
+    # Later occurrences, by k-mer; all that are ranked are the first ones, in text order, and these.
+    df = df.withColumn("_l", F.when(F.size("_e") > 0, by_run(F.col("_e"), lambda a, b: a == b, lambda x, n: F.struct(x.alias("x"), F.xxhash64(x, n + 1).alias("key")))))
+    df = df.withColumn("_k", F.when(repeats, F.concat("_u", F.col("_l.key"))).otherwise(F.col("_h")))
+
+    def least(j: Column) -> Column:
+        """The places from 1 in _k of the TUPLE k-mers that hash j ranks first."""
+
+        def places(ranks: Column) -> Column:
+            place = lambda m: F.array_position(ranks, m).cast("int")
+            second = lambda m: F.array_min(F.array_remove(ranks, m))
+            return let(F.array_min(ranks), lambda m: F.array_compact(F.array(place(m), place(second(m)))))
+
+        return let(F.transform("_k", lambda c: F.xxhash64(c, j)), places)
+
+    df = df.withColumn("_p", F.transform(F.sequence(F.lit(1), F.lit(entries)), least))
+    late = F.filter(F.flatten("_p"), lambda q: q > F.size("_u"))
+    df = df.withColumn("_f", F.when(repeats, F.array_distinct(F.transform(late, lambda q: F.get("_l", q - F.size("_u") - 1)["x"]))))
+
+    def numbered(h: str) -> Column:
+        """All occurrences of the k-mers in _f: key and place in the text."""
+        found = F.filter(F.transform(h, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda z: F.array_contains("_f", z["x"]))
+        return by_run(F.sort_array(found), lambda a, b: a["x"] == b["x"], lambda z, n: F.struct(numbered_hash(z["x"], n).alias("key"), z["i"].alias("i")))
+
+    df = df.withColumn("_n", F.when(F.size("_f") > 0, numbered("_h")))
+    df = df.withColumns({"_nk": F.col("_n.key"), "_ni": F.col("_n.i")})
+
+    def entry(picked: Column) -> Column:
+        key = lambda q: F.get("_k", q - 1)
+        place = lambda q: F.when(~repeats, q).when(q <= F.size("_u"), F.array_position("_h", key(q)).cast("int")).otherwise(F.get("_ni", F.array_position("_nk", key(q)).cast("int") - 1))
+        order = F.sort_array(F.transform(picked, lambda q: F.struct(place(q).alias("i"), key(q).alias("key"))))
+        return F.shiftright(F.xxhash64(F.transform(order, lambda z: z["key"])), 32).cast("int")
+
+    return df.select(*rest, F.transform("_p", entry).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -1,7 +1,11 @@
 import hashlib
+import random
+import re
 import zlib
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from logloom.llm import ordered_minhash as om
 from logloom.llm import sharding
@@ -71,3 +75,25 @@ def test_weights(spark):
     out = sharding.shard_records(docs(spark, [(i, "") for i in range(4000)]), [1.0, 3.0]).groupBy("shard").count().collect()
     n = {r.shard: r["count"] for r in out}
     assert 2800 < n[1] < 3200
+
+
+def test_every_entry_ranks_all_numbered_kmers(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("a b c d e f g h".split()) for _ in range(n)) for n in (300, 40)] + [" ".join(f"w{r.randrange(900)}" for _ in range(2000)), "x y", "", "Shti " * 200]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x.doc_id: list(x.s) for x in om.with_signature(d, "text", "s").collect()}
+    kmers = [(i, at, *[w[at + j] if at + j < len(w) else None for j in range(om.K)]) for i, t in enumerate(texts) for w in [om_words(t)] for at in range(len(w))]
+    rows = spark.createDataFrame(kmers, "doc_id int, at int, a string, b string, c string").select("doc_id", "at", F.xxhash64("a", "b", "c").alias("x"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "x").orderBy("at")) - 1)
+    rows = rows.select("doc_id", "at", F.when(F.col("n") == 0, F.col("x")).otherwise(F.xxhash64("x", "n")).alias("key"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(om.ENTRIES))))
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "j").orderBy(F.xxhash64("key", "j")))).where(F.col("rank") <= om.TUPLE)
+    entries = first.groupBy("doc_id", "j").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("o")).select("doc_id", "j", F.shiftright(F.xxhash64("o.key"), 32).cast("int").alias("e"))
+    want = {}
+    for x in entries.orderBy("doc_id", "j").collect():
+        want.setdefault(x.doc_id, []).append(x.e)
+    assert got == want
+
+
+def om_words(text):
+    return re.split(r"[\x20\x09-\x0D]+", text)
