@@ -300,13 +300,15 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Network:
     """Train on at most `sample` labelled rows whose fold isn't 0.
 
-    The labelled ids are chosen first and broadcast (their number is bounded),
-    so the texts are read once and none is shuffled.
+    The labelled rows are chosen first and broadcast (their number is bounded),
+    so the texts are read once, and only those of chosen rows are shuffled. Where
+    documents share an id, a label stands for the least of their texts.
     """
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(F.col(key)) != 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("_k"), "_k", "_y").limit(sample))
-    rows = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).join(chosen, F.col("_d") == F.col("_k")).select("_k", "_y", "_text")
-    rows = sorted((r._k, r._y, r._text or "") for r in rows.limit(2 * sample).collect())
+    chosen = chosen.orderBy(F.xxhash64("_k"), "_k", "_y").limit(sample).groupBy("_k").agg(F.sort_array(F.collect_list("_y")).alias("_y"))
+    rows = docs.select(F.col(key).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_d") == F.col("_k"))
+    rows = rows.groupBy("_k").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
+    rows = sorted((r._k, y, r._text) for r in rows.collect() for y in r._y)  # one text for each chosen id
     return train([t for _, _, t in rows], [y for _, y, _ in rows])
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logloom.llm import decontaminate, near_dedup, toxicity
@@ -100,6 +101,16 @@ def test_learns_and_scores_every_window(spark):
     assert len(got) == len(docs) and right >= 190 and score[902] > 0.5 and 0 <= score[900] == score[901] < 0.5
 
 
+def test_fit_reads_one_text_for_each_chosen_label(spark, monkeypatch):
+    ids = [i for i, in spark.range(100).where(toxicity.fold(F.col("id")) != 0).collect()][:6]
+    docs = [(ids[0], f"copy {n:02}") for n in range(40)][::-1] + [(i, f"text {i}") for i in ids[1:5]] + [(ids[5], None)]
+    labels = [(i, int(i % 2)) for i in ids] + [(ids[1], int(ids[1] % 2))]
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: (texts, labels))
+    texts, y = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"), sample=7)
+    want = sorted([(ids[0], "copy 00"), (ids[1], f"text {ids[1]}"), *((i, f"text {i}") for i in ids[1:5]), (ids[5], "")])
+    assert list(zip(texts, y, strict=True)) == [(t, i % 2) for i, t in want]
+
+
 def test_pipeline_by_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
