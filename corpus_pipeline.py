@@ -20,12 +20,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, net).where("score < 0.5").select(docs.columns)
 
 
+def _by_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with _node: doc_id, but for all except the least of the texts that share an id, each of which gets a number above all ids; and (node, id) of those, None if there are none."""
+    shared = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"))
+    if shared.isEmpty():
+        return docs.withColumn("_node", F.col("doc_id")), None
+    docs = docs.withColumn("_t", F.coalesce("text", F.lit("")))
+    texts = docs.select("doc_id", "_t").join(shared, "doc_id", "left_semi").distinct()
+    least = texts.groupBy("doc_id").agg(F.min("_t").alias("_least"))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    others = materialize(texts.join(least, "doc_id").where("_t <> _least").select("doc_id", "_t", (F.lit(top) + 1 + F.monotonically_increasing_id()).alias("_other")))
+    rows = docs.join(others, ["doc_id", "_t"], "left").withColumn("_node", F.coalesce("_other", "doc_id")).drop("_t", "_other")
+    return materialize(rows), others.select(F.col("_other").alias("node"), F.col("doc_id").alias("id"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least doc_id; rows without an id stay."""
-    groups = near_dedup.near_duplicates(docs, threshold=0.8, k=5)
-    dropped = groups.where("doc_id <> component_id").select("doc_id")
-    rows = docs.join(dropped, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """One document of each group of near-duplicates, that with the least doc_id; rows without an id stay.
+
+    Rows that share an id are compared like any others: one of those with equal
+    texts stays, and others go only if they are near-duplicates.
+    """
+    rows, others = _by_text(docs)
+    groups = near_dedup.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), threshold=0.8, k=5)
+    groups = groups.select(F.col("doc_id").alias("node"), F.col("component_id").alias("least"))
+    if others is not None:
+        by_id = F.min(F.struct(F.coalesce("id", "node").alias("id"), "node"))
+        least = groups.where("node IS NOT NULL").join(others, "node", "left").groupBy("least").agg(by_id["node"].alias("_kept"))
+        groups = groups.join(least, "least").select("node", F.col("_kept").alias("least"))
+    dropped = groups.where("node <> least").select(F.col("node").alias("_node")).distinct()
+    rows = rows.join(dropped, "_node", "left_anti")
+    first = F.row_number().over(Window.partitionBy("_node").orderBy("text"))
     return rows.withColumn("_n", first).where("_n = 1 OR doc_id IS NULL").select(docs.columns)
 
 

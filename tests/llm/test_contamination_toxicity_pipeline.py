@@ -111,6 +111,16 @@ def test_fit_reads_one_text_for_each_chosen_label(spark, monkeypatch):
     assert list(zip(texts, y, strict=True)) == [(t, i % 2) for i, t in want]
 
 
+def test_rows_that_share_an_id_go_only_as_near_duplicates(spark, sf):
+    r = random.Random(7)
+    a, b, c = (" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (1, b + " end"), (2, c), (3, c), (2, a + " end"), (4, None), (4, ""), (None, c)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    kept = sorted((x.doc_id or 0, x.text or "") for x in got)
+    assert [i for i, _ in kept] == [0, 1, 1, 2, 4]
+    assert {t.removesuffix(" end") for i, t in kept if i == 1} == {a, b} and (2, c) in kept and (0, c) in kept
+
+
 def test_pipeline_by_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
