@@ -2,18 +2,16 @@
 
 Only suffixes cut at `length` bytes matter: a window (such a suffix) is a repeat
 if its longest previous factor, or the longest factor that follows, reaches
-`length`. Any order of windows in which equal ones are neighbours is a suffix
-order as far as that depth; this one sorts by (anchor, digest, position), so
-it can be dealt over a cluster:
+`length`. Equal windows choose equal anchors, so the suffix array is built anchor
+by anchor, dealt over a cluster:
 
 1. Every text's windows choose anchors (see anchors.py); equal windows choose
    the same anchor. Runs of windows with one anchor are classed by all bytes
    they cover, and runs whose anchor occurs once are done: nothing repeats.
 2. All members of a class but the first repeat it. Between different classes
-   with one anchor the windows themselves are put in suffix order. In each
-   stretch of equal windows the longest previous factor of a window comes from
-   its previous or next smaller position, and reaches `length` unless its
-   position is the least of the stretch.
+   with one anchor the windows themselves are put in suffix order, with an LCP
+   array beside it. The longest previous factor of a window is what it shares with
+   its previous or next smaller position in that order.
 3. Covered bytes are joined per text and cut out.
 
 keep_first=True removes the bytes of windows that have an earlier occurrence
@@ -40,11 +38,11 @@ from pyspark.sql import functions as F
 
 from logloom.llm.anchors import runs
 from logloom.llm.textvec import chunks, prefix_hash, span_hash, utf8
-from logloom.tables import materialize, scratch, ship
+from logloom.tables import free, materialize, scratch, ship, tidy
 
 HOT = 20_000
 #: Context bytes that a task puts in suffix order at a time, at least one anchor's.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 LAST = (1 << 63) - 1
 
 
@@ -86,33 +84,85 @@ def _contexts(length: int):
     return run
 
 
-def window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of all contexts, each one's context and its place there."""
+def windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all contexts; where each window begins in them, its digest, its context and its place there."""
     size = np.array([len(x) for x in contexts])
     base = np.cumsum(size) - size
     n = size - length + 1
     which = np.repeat(np.arange(len(n)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = base[which] + place
-    return span_hash(prefix_hash(np.frombuffer(b"".join(contexts), np.uint8)), start, start + length), which, place
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    return data, start, span_hash(prefix_hash(data), start, start + length), which, place
 
 
-def repeated(hashes: np.ndarray, keep_first: bool) -> np.ndarray:
+def suffix_order(data: np.ndarray, start: np.ndarray, digest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and LCP array of the suffixes of `data` at `start`, cut at `length` bytes.
+
+    Equal suffixes, told by their digests, stay in the given order. Suffixes are
+    sorted by eight bytes at a time, and only stretches that still hold different
+    ones go on to the next eight. lcp[i] is what the i-th shares with the one before.
+    """
+    n = len(start)
+    order, lcp = np.arange(n), np.full(n, length, np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))
+    head = np.zeros(n, bool)  # where a stretch of suffixes that agree so far begins
+    head[:1] = True
+    lcp[:1] = 0
+    slots = order.copy()
+    for depth in range(0, length, 8):
+        here = order[slots]
+        key = eight[start[here] + depth].astype(np.uint64) >> np.uint64(8 * max(0, depth + 8 - length))
+        sort = np.lexsort((key, np.cumsum(head[slots])))
+        here, key = here[sort], key[sort]
+        order[slots] = here
+        apart = np.flatnonzero((key[1:] != key[:-1]) & ~head[slots[1:]]) + 1
+        differ = key[apart] ^ key[apart - 1]
+        differ <<= np.uint64(8 * max(0, depth + 8 - length))
+        lcp[slots[apart]] = depth + (differ[:, None] < np.uint64(1) << np.arange(56, 0, -8, np.uint64)).sum(1)
+        head[slots[apart]] = True
+        first = np.flatnonzero(head[slots])
+        x = digest[here]
+        mixed = np.zeros(len(first), bool)
+        which = np.cumsum(head[slots]) - 1
+        mixed[which[1:][(x[1:] != x[:-1]) & (which[1:] == which[:-1])]] = True
+        slots = slots[mixed[which]]
+        if not len(slots):
+            break
+    return order, lcp
+
+
+def longest_previous(order: np.ndarray, lcp: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix whether its longest previous factor reaches `length`.
+
+    Of the suffixes with a smaller position, those that share most are the
+    nearest ones before and after it in suffix order. Within a stretch that shares
+    `length` bytes the order is that of positions: the previous smaller position
+    is the slot before, and the next smaller one lies outside, where less is shared.
+    """
+    before = np.concatenate([[False], order[1:] > order[:-1]]) if len(order) else np.zeros(0, bool)
+    out = np.zeros(len(order), bool)
+    out[order] = before & (lcp >= length)
+    return out
+
+
+def repeated(data: np.ndarray, start: np.ndarray, digest: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
     """Which windows, given in order of position, repeat an earlier one (or any other).
 
-    In suffix order a window's previous and next smaller positions are sought
-    within its stretch of equal windows; one of them exists unless its own
-    position is the stretch's least.
+    Windows whose digest occurs once repeat nothing and aren't sorted.
     """
-    order = np.argsort(hashes, kind="stable")
-    x = hashes[order]
-    first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-    if keep_first:
-        flag = ~first
-    else:
-        flag = ~(first & np.concatenate([first[1:], [True]])) if len(x) else first
-    out = np.empty(len(x), bool)
-    out[order] = flag
+    out = np.zeros(len(start), bool)
+    by = np.argsort(digest)
+    same = digest[by[1:]] == digest[by[:-1]]
+    some = np.zeros(len(start), bool)
+    some[by[1:][same]] = some[by[:-1][same]] = True
+    some = np.flatnonzero(some)
+    order, lcp = suffix_order(data, start[some], digest[some], length)
+    previous = longest_previous(order, lcp, length)
+    out[some] = previous
+    if not keep_first:  # a window that a later one repeats has a longest following factor of that length
+        out[some[order[:-1][lcp[1:] >= length]]] = True
     return out
 
 
@@ -134,8 +184,8 @@ def _order_windows(length: int, keep_first: bool):
         order = np.lexsort(place)
         same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in place])  # from a repeated row
         t = t.take(pa.array(order[np.concatenate([[True], ~same])]))
-        hashes, which, place = window_hashes(t["ctx"].to_pylist(), length)
-        spans = _spans(repeated(hashes, keep_first), which, place, len(t), length)
+        data, start, digest, which, place = windows(t["ctx"].to_pylist(), length)
+        spans = _spans(repeated(data, start, digest, length, keep_first), which, place, len(t), length)
         return pa.RecordBatch.from_arrays([t["h"].combine_chunks(), t["c"].combine_chunks(), spans], ["h", "c", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +217,7 @@ def _hot_windows(length: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
-                hashes, which, place = window_hashes(b.column("ctx").to_pylist(), length)
+                _, _, hashes, which, place = windows(b.column("ctx").to_pylist(), length)
                 w = pa.array(which)
                 yield pa.RecordBatch.from_arrays([*(b.column(x).take(w) for x in ("h", "c", "doc_id", "t", "lo")), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], ["h", "c", "doc_id", "t", "lo", "place", "w"])
 
@@ -176,7 +226,7 @@ def _hot_windows(length: int):
 
 def _hot_spans(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """What _order_windows finds, with a grouped count instead of one task for each anchor."""
-    rows = materialize(contexts.mapInArrow(_hot_windows(length), "h long, c long, doc_id long, t long, lo int, place int, w long"))
+    rows = materialize(contexts.mapInArrow(tidy(_hot_windows(length)), "h long, c long, doc_id long, t long, lo int, place int, w long"))
     place = F.struct("doc_id", "t", (F.col("lo") + F.col("place")).alias("at"))
     seen = rows.groupBy(F.col("h").alias("_h"), F.col("w").alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1")
     joined = rows.join(seen, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
@@ -198,7 +248,7 @@ def repeat_spans(docs: DataFrame, *, length: int, keep_first: bool, hot: int = H
 
 
 def _find_spans(docs: DataFrame, length: int, keep_first: bool, hot: int) -> DataFrame:
-    scan = materialize(docs.where(F.octet_length("text") >= length).mapInArrow(_scan(length), "doc_id long, t long, occ array<struct<h: long, c: long, lo: int, hi: int>>"))
+    scan = materialize(docs.where(F.octet_length("text") >= length).mapInArrow(tidy(_scan(length)), "doc_id long, t long, occ array<struct<h: long, c: long, lo: int, hi: int>>"))
     occ = scan.select("doc_id", "t", F.explode("occ").alias("o")).select("doc_id", "t", "o.*")
     again = scan.select(F.explode("occ.h").alias("h")).groupBy("h").count().where("count > 1").select("h")
     occ = materialize(occ.join(again, "h", "left_semi"))
@@ -207,9 +257,9 @@ def _find_spans(docs: DataFrame, length: int, keep_first: bool, hot: int) -> Dat
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1")
     want = classes.join(several, "h").select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.t").alias("t"), F.struct("h", "c", "rep.lo", "rep.hi", "nc").alias("w"))
     want = want.groupBy("doc_id", "t").agg(F.collect_list("w").alias("want"))
-    contexts = docs.join(want, ["doc_id", "t"]).select("doc_id", "t", "text", "want").mapInArrow(_contexts(length), "h long, c long, nc long, doc_id long, t long, lo int, ctx binary")
+    contexts = docs.join(want, ["doc_id", "t"]).select("doc_id", "t", "text", "want").mapInArrow(tidy(_contexts(length)), "h long, c long, nc long, doc_id long, t long, lo int, ctx binary")
     contexts = materialize(contexts)
-    spans = contexts.where(F.col("nc") <= hot).drop("nc").repartition("h").sortWithinPartitions("h").mapInArrow(_order_windows(length, keep_first), "h long, c long, spans array<struct<a: int, b: int>>")
+    spans = contexts.where(F.col("nc") <= hot).drop("nc").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_order_windows(length, keep_first)), "h long, c long, spans array<struct<a: int, b: int>>")
     spans = spans.unionByName(_hot_spans(contexts.where(F.col("nc") > hot).drop("nc"), length, keep_first))
     judged = classes.join(spans, ["h", "c"], "left")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo") + length).alias("b")))
@@ -225,8 +275,8 @@ def _find_spans(docs: DataFrame, length: int, keep_first: bool, hot: int) -> Dat
     return hits.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def _cut(aligned: bool):
-    """Cut the spans out; aligned: none of them may split a character."""
+def _cut(aligned: bool, names: tuple[str, str, str]):
+    """Cut the spans (last column) out of the texts (last but one); aligned: none of them may split a character."""
 
     def merged(spans: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         a, b = spans.field("a").to_numpy(), spans.field("b").to_numpy()
@@ -238,7 +288,7 @@ def _cut(aligned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, count = [], [], []
-            for text, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
+            for text, spans in zip(*batch.columns[-2:], strict=True):
                 body = text.as_py().encode()
                 if not spans.is_valid or not len(spans.values):
                     kept.append(body), removed.append(0), count.append(0)
@@ -256,9 +306,8 @@ def _cut(aligned: bool):
                         at, gone, k = y, gone + y - x, k + 1
                 parts.append(body[at:])
                 kept.append(b"".join(parts)), removed.append(gone), count.append(k)
-            names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
             new = [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, "kept", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], [*batch.schema.names[:-2], *names])
 
     return run
 
@@ -268,15 +317,16 @@ def row_key(key: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, keep_first: bool = True, aligned: bool = True, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with kept (binary: the bytes that remain), n_removed and n_spans; columns of these names are replaced."""
+def remove_repeats(docs: DataFrame, *, length: int = 400, keep_first: bool = True, aligned: bool = True, key: str = "doc_id", text: str = "text", hot: int = HOT, names: tuple[str, str, str] = ("kept", "n_removed", "n_spans")) -> DataFrame:
+    """docs without text, with the bytes that remain, their removed number and the number of spans under `names`; columns of these names are replaced."""
     id_, t = row_key(key, text)
     body = F.coalesce(F.col(text), F.lit(""))
     spans = repeat_spans(docs.select(id_.alias("doc_id"), t.alias("t"), body.alias("text")), length=length, keep_first=keep_first, hot=hot)
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t2"), F.col("spans").alias("_spans"))
-    docs = docs.drop("kept", "n_removed", "n_spans")
-    rows = docs.withColumns({"_id": id_, "_t": t, "_text": body}).join(spans, (F.col("_id") == F.col("_doc")) & (F.col("_t") == F.col("_t2")), "left")
+    docs = docs.drop(*names)
+    own_id, own_t, own_text, doc, t2, cut = free(docs.columns, "_id", "_t", "_text", "_doc", "_t2", "_spans")
+    spans = spans.toDF(doc, t2, cut)
+    rows = docs.withColumns({own_id: id_, own_t: t, own_text: body}).join(spans, (F.col(own_id) == F.col(doc)) & (F.col(own_t) == F.col(t2)), "left")
     schema = [f for f in docs.schema.fields if f.name != text]
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    rows = rows.select(*[F.col(f"`{f.name}`") for f in schema], "_text", "_spans")
-    return rows.mapInArrow(_cut(aligned), f"{names}, kept binary, n_removed long, n_spans long")
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
+    rows = rows.select(*[F.col(f"`{f.name}`") for f in schema], own_text, cut)
+    return rows.mapInArrow(tidy(_cut(aligned, names)), f"{types}`{names[0]}` binary, `{names[1]}` long, `{names[2]}` long")

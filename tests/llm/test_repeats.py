@@ -1,7 +1,9 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from logloom.llm import repeats
 from logloom.llm.repeats import remove_repeats
 
 
@@ -58,3 +60,31 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((r.doc_id or -1, r.n_removed) for r in remove_repeats(df, length=40).collect())
     assert got == [(-1, len(t)), (1, 0), (1, 0)]
     assert all(r.n_removed == len(t) for r in remove_repeats(df, length=40, keep_first=False).collect())
+
+
+@pytest.mark.parametrize("length", [5, 16, 21])
+def test_suffix_array_lcp_and_longest_previous_factors(length):
+    r = np.random.default_rng(length)
+    body = bytes(r.choice([97, 98], 60).astype(np.uint8)) + b"abcabcabcabcabcabcabcabcabc" * 3 + bytes(r.choice([0, 255], 40).astype(np.uint8))
+    body += body[20:90]
+    cut = [body[i : i + length] for i in range(len(body) - length + 1)]
+    data, start, digest, _, place = repeats.windows([body], length)
+    order, lcp = repeats.suffix_order(data, start, digest, length)
+    assert order.tolist() == sorted(range(len(cut)), key=lambda i: (cut[i], i))
+
+    def common(a, b):
+        return next((i for i in range(length) if a[i] != b[i]), length)
+
+    assert lcp.tolist() == [0] + [common(cut[a], cut[b]) for a, b in zip(order, order[1:])]
+    lpf = [max((common(cut[i], cut[j]) for j in range(i)), default=0) for i in range(len(cut))]
+    assert repeats.longest_previous(order, lcp, length).tolist() == [x == length for x in lpf]
+    for keep_first in (True, False):
+        want = [cut[i] in cut[:i] or not keep_first and cut.count(cut[i]) > 1 for i in range(len(cut))]
+        assert repeats.repeated(data, start, digest, length, keep_first).tolist() == want
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(map(str, range(200_000)))
+    df = spark.createDataFrame([(1, long + "!" + long[5000:9000]), (2, long[700_000:700_900])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(df, length=400).collect()}
+    assert got == {1: (4000, 1), 2: (900, 1)}
