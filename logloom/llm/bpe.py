@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.tables import ship
+from logloom.tables import ship, tidy
 
 MAX_STATES = 150_000
 MAX_PIECES = 600_000
@@ -327,10 +327,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, outputs: tuple
     ship(docs.sparkSession)
     sql = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"doc_id {docs.schema[key].dataType.simpleString()}", *(f"{o} {sql[o]}" for o in outputs)])
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(path, pattern, outputs), schema)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_encode(path, pattern, outputs)), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
     ship(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(path, pattern), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(path, pattern)), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.near_dedup import seeds
 from logloom.llm.textvec import chunks, shingles, sorted_set, utf8, words
-from logloom.tables import ship
+from logloom.tables import ship, tidy
 
 GROWTH = 1.4
 MISS = 1e-4
@@ -149,7 +149,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, k: int = 5, thresho
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), k, threshold), "doc_id long, item_id long, containment double")
+        part = rows.mapInArrow(tidy(_search(spark.sparkContext.broadcast(block), k, threshold)), "doc_id long, item_id long, containment double")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
@@ -159,5 +159,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, k: int = 5, threshol
     spark = docs.sparkSession
     ship(spark)
     for block in _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), k, threshold, text), docs.schema)
+        docs = docs.mapInArrow(tidy(_clean(spark.sparkContext.broadcast(block), k, threshold, text)), docs.schema)
     return docs

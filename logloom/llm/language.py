@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from logloom.llm.templates import main_text
 from logloom.llm.textvec import LOWER, chunks, utf8
 from logloom.llm.urlfilter import url_host, url_path
-from logloom.tables import drop_materialized, materialize, ship
+from logloom.tables import drop_materialized, materialize, ship, tidy
 
 BUCKETS = 1 << 14
 #: Languages whose text model is in memory at once: 128 KiB each.
@@ -142,14 +142,14 @@ def _text_likelihood(model, last: bool):
 
 def _with_likelihood(rows: DataFrame, langs: list[str], columns: str) -> DataFrame:
     """rows(columns, text) with ll instead of text, AT_ONCE languages in a pass over the texts."""
-    counts = materialize(rows.select("declared", "text").mapInArrow(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    counts = materialize(rows.select("declared", "text").mapInArrow(tidy(_count(langs)), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     for i in range(0, len(langs), AT_ONCE):
         here, last = langs[i : i + AT_ONCE], i + AT_ONCE >= len(langs)
         found = counts.where(F.col("lang").between(i, i + len(here) - 1)).toArrow()
         total = np.full((len(here), BUCKETS), 0.1)
         total[found.column("lang").to_numpy() - i, found.column("bucket").to_numpy()] += found.column("n").to_numpy()
         model = rows.sparkSession.sparkContext.broadcast(np.log(total / total.sum(1, keepdims=True)))
-        out = rows.mapInArrow(_text_likelihood(model, last), f"{columns}, {'' if last else 'text string, '}ll array<double>")
+        out = rows.mapInArrow(tidy(_text_likelihood(model, last)), f"{columns}, {'' if last else 'text string, '}ll array<double>")
         if not last:
             out = materialize(out)
             if i:
@@ -202,7 +202,7 @@ def identify(pages: DataFrame) -> DataFrame:
     ship(spark)
     id_type = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), F.when(F.col("url").contains("://"), suffix(F.col("url"))).alias("suffix"), "html")
-    rows = materialize(rows.mapInArrow(_read(), f"page_id {id_type}, url string, host string, suffix string, declared string, text string"))
+    rows = materialize(rows.mapInArrow(tidy(_read()), f"page_id {id_type}, url string, host string, suffix string, declared string, text string"))
     langs = sorted(r.declared for r in rows.where("declared IS NOT NULL").select("declared").distinct().collect())  # codes of two or three letters: 18,252 at most
     if not langs:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), "declared", F.lit(None).cast("string").alias("text_lang"))

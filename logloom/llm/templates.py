@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.urlfilter import url_host
-from logloom.tables import materialize, ship
+from logloom.tables import materialize, ship, tidy
 
 MIN_CLASS, SUPPORT = 3, 0.6
 #: Templates are broadcast up to so many hosts; with more, pages are dealt by host and salt.
@@ -201,7 +201,7 @@ def templates(pages: DataFrame) -> DataFrame:
     One row for each host; a host's row holds tokens that SUPPORT of its pages
     have, so it is as long as a page at most, times 1 / SUPPORT.
     """
-    sums = pages.mapInArrow(_tokens(), "host string, token string, kind string, slot long, support long, v1 long, v2 long, once long, mass long")
+    sums = pages.mapInArrow(tidy(_tokens()), "host string, token string, kind string, slot long, support long, v1 long, v2 long, once long, mass long")
     tokens = materialize(sums.groupBy("host", "token", "kind", "slot").agg(*[F.sum(c).alias(c) for c in ("support", "v1", "v2", "once", "mass")]))
     n = tokens.where("kind = 'page'").select("host", F.col("support").alias("pages"))
     hosts = n.count()
@@ -261,4 +261,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     first = default.first()
     joined = joined.withColumn("_main", F.coalesce("_main", F.lit(first[0] if first else None).cast("string")))
     types = dict(pages.dtypes)
-    return joined.select("page_id", "url", "html", "_main", "_noise", "_fixed").mapInArrow(_extract(), f"page_id {types['page_id']}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "_main", "_noise", "_fixed").mapInArrow(tidy(_extract()), f"page_id {types['page_id']}, url string, text string, n_chars long")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to so many bytes; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 M1, M2, M3, BASE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
 
@@ -34,16 +34,20 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i below n."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
+    """BASE ** i and BASE ** -i modulo 2 ** 64 for i below n; those of an ordinary chunk are remembered."""
+    if n > CHUNK_BYTES + 1:
+        return _powers_of(BASE, n), _powers_of(pow(BASE, -1, 1 << 64), n)
+    if not _powers:
+        _powers["up"], _powers["down"] = (_powers_of(x, CHUNK_BYTES + 1) for x in (BASE, pow(BASE, -1, 1 << 64)))
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def _powers_of(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """H with H[j] - H[i] = the polynomial of data[i:j], times BASE ** i."""
     out = np.zeros(len(data) + 1, np.uint64)

@@ -15,13 +15,13 @@ least hash of their id, from the training folds only; its bound makes the
 driver's part constant.
 
 Defined results: null and empty texts are one window without words; conflicting
-labels of one doc_id are both used; without any labels the network is untrained; repeated rows each get a row.
+labels of one doc_id are both used; without any labels every score is 0; repeated rows each get a row.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.textvec import chunks, utf8
-from logloom.tables import ship
+from logloom.tables import ship, tidy
 
 WINDOW, STRIDE = 16, 8
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -43,7 +43,7 @@ EPOCHS, UPDATES = 5, 240
 BATCH = 128
 RATE = 0.02
 #: Distinct words whose gate inputs a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def fold(key: Column) -> Column:
@@ -188,9 +188,9 @@ class Adam:
             self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
-def _numbered(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+def _numbered(texts: Iterable[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
     ids: dict[bytes, int] = {}
-    rows = [np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in texts]
+    rows = [np.array([ids.setdefault(w, len(ids)) for w in t], np.int32) for t in texts]
     return list(ids), rows
 
 
@@ -200,24 +200,28 @@ def _cut(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
     doc = np.repeat(np.arange(len(rows)), count)
     start = STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
-    at = start[:, None] + np.arange(WINDOW)
-    mask = at < n[doc][:, None]
-    flat = np.concatenate([*rows, np.zeros(1, np.int64)])
-    base = (np.cumsum(n) - n)[doc][:, None]
-    ids = flat[np.where(mask, base + at, len(flat) - 1)]
-    return ids, mask.astype(np.float32), doc
+    flat = np.concatenate([*rows, np.zeros(1, np.int32)]).astype(np.int32)
+    first, end = (np.cumsum(n) - n)[doc] + start, np.cumsum(n)[doc]
+    ids, mask = np.empty((len(doc), WINDOW), np.int32), np.empty((len(doc), WINDOW), np.float32)
+    for j in range(WINDOW):
+        mask[:, j] = first + j < end
+        ids[:, j] = flat[np.minimum(first + j, len(flat) - 1)]
+    ids[mask == 0] = flat[-1]
+    return ids, mask, doc
 
 
 def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, updates: int = UPDATES, seed: int = 7) -> Network:
     """A network for the labels; deterministic."""
-    split_ = [split(t) for t in texts]
-    seen = Counter(w for t in split_ for w in set(t))
+    distinct, rows = _numbered(map(split, texts))
+    seen = Counter()
+    for r in rows:
+        seen.update(distinct[i] for i in np.unique(r).tolist())
     frequent = sorted((w for w, c in seen.items() if c >= 3), key=lambda w: (-seen[w], w))[:VOCABULARY]
     net = Network({w: i + 1 for i, w in enumerate(frequent)}, seed)
-    if not texts:
+    if not texts:  # nothing is known to be toxic
+        net.p["out"][:], net.p["bias"][:] = 0, -100
         return net
     r = np.random.default_rng(seed)
-    distinct, rows = _numbered(split_)
     grams = [trigrams(w) for w in distinct]
     n = np.array([len(g) for g in grams] or [1])
     flat, first = np.array([x for g in grams for x in g] or [0]), np.cumsum(n) - n
@@ -269,7 +273,7 @@ class Scorer:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((self.bound, 6 * HIDDEN), np.float32)  # takes memory as rows are written
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.bound:
@@ -278,8 +282,8 @@ class Scorer:
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             at = len(known)
-            while at + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            if at + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:at], np.zeros((len(new), 6 * HIDDEN), np.float32)])
             for i in range(0, len(new), 50_000):
                 part = new[i : i + 50_000]
                 self.table[at + i : at + i + len(part)] = self.net.inputs(part)
@@ -312,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     return train([t for _, _, t in rows], [y for _, y, _ in rows])
 
 
-def _score(model, text: str):
+def _score(model, text: str, out_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
@@ -322,15 +326,15 @@ def _score(model, text: str):
                 body = d.tobytes()
                 out.append(scorer.scores([body[o[r] : o[r + 1]] for r in range(j - i)]))
             score = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, out_name])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, net: Network, *, text: str = "text") -> DataFrame:
-    """docs with `score` (0 to 1, replaced if there is one); one pass, no shuffle."""
+def score_toxicity(docs: DataFrame, net: Network, *, text: str = "text", score: str = "score") -> DataFrame:
+    """docs with the column `score` (0 to 1, replaced if there is one); one pass, no shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("score")
+    docs = docs.drop(score)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(net), text), f"{names}, score double")
+    return docs.mapInArrow(tidy(_score(spark.sparkContext.broadcast(net), text, score)), f"{names}, `{score}` double")
