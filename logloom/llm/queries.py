@@ -67,7 +67,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_records(table(spark, sf_dir, "documents"), [1.0] * 40, grown=[1.0] * 41)
-    return out.withColumn("law", F.lit("key"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 @query

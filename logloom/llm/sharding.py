@@ -23,9 +23,9 @@ PIECE_ROWS = 4096
 
 
 def unit(key: Column, shard: Column) -> Column:
-    """A number in (0, 1) that the key and the shard's number fix."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, shard), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+    """A number in (0, 1) that the key and the shard's number fix; 52 bits and a half are exact, so it is never 1."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, shard), 12)
+    return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
