@@ -119,16 +119,24 @@ class Store:
     def next_seq(self) -> int:
         return self.manifest()["watermark"] + 1
 
-    def flush(self, log: DataFrame) -> dict:
-        """Write the winners of a piece of log as a new generation; nothing for an empty piece."""
+    def flush(self, log: DataFrame, batch: int | None = None) -> dict:
+        """Write the winners of a piece of log as a new generation; nothing for an empty piece.
+
+        Records up to the watermark are a replay and skipped. A numbered batch of a
+        stream is skipped as a whole if the manifest has its number; if not, records
+        that come late are kept, and lose to newer ones by their sequence numbers.
+        """
         now = self.manifest()
-        piece = log.where(F.col("seq") > now["watermark"])
+        if batch is not None and batch <= now.get("batch", -1):
+            return now
+        piece = log if batch is not None else log.where(F.col("seq") > now["watermark"])
         top = piece.agg(F.max("seq")).first()[0]
         if top is None:
             return now
         w = F.max_by(F.struct("op", "value"), "seq")
         rows = piece.groupBy("key").agg(w.alias("w"), F.max("seq").alias("seq")).select("key", F.when(F.col("w.op") == DELETE, TOMBSTONE).otherwise(VALUE).alias("kind"), "w.value", "seq")
-        return self._commit(now, watermark=top, generations=[*now["generations"], self._write(rows)])
+        done = {} if batch is None else {"batch": batch}
+        return self._commit(now, watermark=max(top, now["watermark"]), generations=[*now["generations"], self._write(rows)], **done)
 
     def _write(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -144,16 +152,28 @@ class Store:
             out = g if out is None else out.unionByName(g)
         return out
 
+    def get(self, key: str) -> bytes | None:
+        """A key's value: its newest entry in any generation decides, a tombstone means none.
+
+        The key is pushed to the files, whose statistics and Bloom filters skip all others.
+        """
+        gens = self.generations()
+        found = None if gens is None else gens.where(F.col("key") == key).agg(F.max_by(F.struct("kind", "value"), F.struct("seq", "gen_id")).alias("e")).first()["e"]
+        return bytes(found["value"]) if found is not None and found["kind"] == VALUE else None
+
     def read(self) -> DataFrame | None:
         gens = self.generations()
-        return None if gens is None else merge(gens).select("key", "value")
+        if gens is None:
+            return None
+        w = F.max_by(F.struct("kind", "value"), F.struct("seq", "gen_id"))
+        return gens.groupBy("key").agg(w.alias("w")).where(F.col("w.kind") == VALUE).select("key", "w.value")
 
     def compact(self, keep_tombstones: bool = False) -> dict:
         """Merge all generations into one; fewer than two are left alone, an empty result leaves none but the watermark."""
         now = self.manifest()
         if len(now["generations"]) < 2:
             return now
-        w = F.max_by(F.struct("kind", "value", "seq"), "gen_id")
+        w = F.max_by(F.struct("kind", "value", "seq"), F.struct("seq", "gen_id"))
         rows = self.generations().groupBy("key").agg(w.alias("w")).select("key", "w.kind", "w.value", "w.seq")
         if not keep_tombstones:
             rows = rows.where(F.col("kind") == VALUE)

@@ -57,8 +57,14 @@ def commit_index(entries: DataFrame, match: DataFrame, cluster: int, current_ter
     return ok.agg(F.coalesce(F.max("idx"), F.lit(0)).cast("long").alias("commit_index"))
 
 
-def lease_valid(acks: DataFrame, cluster: int) -> DataFrame:
-    """acks(term, peer, acked_within) -> (term, acked, lease): the leader and the peers in time are a majority."""
+def lease_valid(acks: DataFrame, cluster: int, terms: DataFrame | None = None) -> DataFrame:
+    """acks(term, peer, acked_within) -> (term, acked, lease): the leader and the peers in time are a majority.
+
+    terms(term): also those without peers, where a sole node has its lease at all times.
+    """
+    if terms is not None:
+        none = terms.select("term").distinct().select("term", F.lit(None).cast("int").alias("peer"), F.lit(False).alias("acked_within"))
+        acks = acks.select("term", F.col("peer").cast("int").alias("peer"), "acked_within").unionByName(none)
     n = acks.groupBy("term").agg(F.count_if("acked_within").alias("acked"))
     return n.withColumn("lease", (F.col("acked") + 1) * 2 > cluster)
 
@@ -84,3 +90,21 @@ def append_entries(log: DataFrame, request: DataFrame, prev_idx: int, prev_term:
     conflict = log.join(theirs, "idx").where(F.col("term") != F.col("new_term")).agg(F.min("idx")).first()[0]
     kept = log if conflict is None else log.where(F.col("idx") < conflict)
     return kept.unionByName(request.select("idx", "term").join(kept.select("idx"), "idx", "left_anti"))
+
+
+def handle_append(log: DataFrame, request: DataFrame, *, term: int, current_term: int, prev_idx: int, prev_term: int, leader_commit: int, commit: int) -> tuple[DataFrame, dict]:
+    """A follower's answer to entries(idx, term) of a leader: its log afterwards, and term, success, match_idx and commit.
+
+    A request of an older term is refused outright; one whose entry before the
+    new ones is missing or of another term is refused with the last index, for the
+    leader to step back. The commit index follows the leader's, up to the last
+    entry of this request, and never goes back.
+    """
+    if term < current_term:
+        return log, {"term": current_term, "success": False, "match_idx": 0, "commit": commit}
+    last = log.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]
+    if prev_idx and log.where((F.col("idx") == prev_idx) & (F.col("term") == prev_term)).isEmpty():
+        return log, {"term": term, "success": False, "match_idx": last, "commit": commit}
+    match = request.agg(F.coalesce(F.max("idx"), F.lit(prev_idx))).first()[0]
+    after = append_entries(log, request, prev_idx, prev_term)
+    return after, {"term": term, "success": True, "match_idx": match, "commit": max(commit, min(leader_commit, match))}

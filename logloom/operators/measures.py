@@ -28,12 +28,47 @@ def round_robin_gets(spark: SparkSession, prefix: str, n: int, keys: int, offset
     return spark.range(n).select(F.col("id").alias("i"), F.lit("GET").alias("op"), workload_key(prefix, (F.col("id") + offset) % keys).alias("key"))
 
 
+def deletes(spark: SparkSession, prefix: str, n: int, start: int = 0) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), F.lit("DELETE").alias("op"), workload_key(prefix, F.col("id") + start).alias("key"))
+
+
+# The 48-bit linear congruential generator of java.util.Random.
+LCG_A, LCG_C, LCG_BITS = 0x5DEECE66D, 0xB, 48
+
+
+def _times(x: Column, hi: Column, lo: Column) -> Column:
+    """x * (hi * 2^24 + lo) modulo 2^48, without overflow."""
+    half = F.lit((1 << 24) - 1).cast("long")
+    low, high = x.bitwiseAND(half), F.shiftright(x, 24)
+    cross = (hi * low + lo * high).bitwiseAND(half)
+    return (lo * low + F.shiftleft(cross, 24)).bitwiseAND(F.lit((1 << 48) - 1).cast("long"))
+
+
+def lcg_state(seed: int, n: Column) -> Column:
+    """The generator's state after n steps from a seed: jumps of 1, 2, 4, ... steps, as n's bits say, so every row finds its own."""
+    mask = (1 << LCG_BITS) - 1
+    jumps, a, c = [], LCG_A, LCG_C
+    for bit in range(42):
+        jumps.append(F.struct(*[F.lit(v).cast("long").alias(k) for k, v in (("bit", 1 << bit), ("hi", a >> 24), ("lo", a & 0xFFFFFF), ("c", c))]))
+        a, c = a * a & mask, (a * c + c) & mask
+    step = lambda s, j: (_times(s, j["hi"], j["lo"]) + j["c"]).bitwiseAND(F.lit(mask).cast("long"))
+    first = F.lit((seed ^ LCG_A) & mask).cast("long")
+    return F.aggregate(F.array(*jumps), first, lambda s, j: F.when(n.bitwiseAND(j["bit"]) != 0, step(s, j)).otherwise(s))
+
+
+def lcg_double(seed: int, n: Column) -> Column:
+    """The n-th double (from 0) in [0, 1) of the generator: 26 bits of one step and 27 of the next."""
+    top = F.shiftright(lcg_state(seed, 2 * n + 1), 22)
+    low = F.shiftright(lcg_state(seed, 2 * n + 2), 21)
+    return (F.shiftleft(top, 27) + low).cast("double") / float(1 << 53)
+
+
 def mixed(spark: SparkSession, prefix: str, n: int, keys: int, read_fraction: float, seed: int) -> DataFrame:
-    """Uniform keys; an operation is a GET with probability read_fraction. Seeded, distribution-equal."""
+    """Uniform keys; an operation is a GET with probability read_fraction. The same seed gives the same sequence, any row by itself."""
     return spark.range(n).select(
         F.col("id").alias("i"),
-        F.when(F.rand(seed) < read_fraction, "GET").otherwise("PUT").alias("op"),
-        workload_key(prefix, F.floor(F.rand(seed + 1) * keys)).alias("key"),
+        F.when(lcg_double(seed, 2 * F.col("id") + 1) < read_fraction, "GET").otherwise("PUT").alias("op"),
+        workload_key(prefix, F.floor(lcg_double(seed, 2 * F.col("id")) * keys)).alias("key"),
     )
 
 

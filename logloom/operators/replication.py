@@ -87,3 +87,13 @@ def duplicate_every(arrivals: DataFrame, n: int) -> DataFrame:
 def delay_every(arrivals: DataFrame, n: int, by: int) -> DataFrame:
     """A fault: every n-th arrival comes later."""
     return arrivals.withColumn("arrival", F.when(F.col("arrival") % n == 0, F.col("arrival") + by).otherwise(F.col("arrival")))
+
+
+def partition(arrivals: DataFrame, start: int, end: int) -> DataFrame:
+    """A fault: nothing arrives from `start` up to `end`, when the partition heals; what was sent meanwhile is lost."""
+    return arrivals.where((F.col("arrival") < start) | (F.col("arrival") >= end))
+
+
+def fan_out(records: DataFrame, origin: str = "origin") -> DataFrame:
+    """What listeners hear of: records written here, not those applied from a leader."""
+    return records.where(F.col(origin) == "LOCAL").drop(origin)

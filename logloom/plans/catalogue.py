@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions import bloom
+from logloom.functions import bloom, codecs
 from logloom.operators import generations, leadership, log, measures, membership, replication, ring, shell, state
 from logloom.tables import table
 
@@ -444,22 +444,22 @@ def vote_rule(spark, sf):
     return o.select("o_orderkey", F.coalesce(granted, F.lit(False)).alias("granted"))
 
 
-COMMIT_SQL = """entries AS (SELECT o_orderkey + 1 AS idx, (o_orderkey // 5000)::BIGINT AS term FROM orders), peers AS (SELECT s_suppkey AS peer, s_suppkey * 97 % 6000 AS match_idx FROM supplier WHERE s_suppkey < 4)"""
+COMMIT_SQL = """entries AS (SELECT o_orderkey + 1 AS idx, (o_orderkey // 5000)::BIGINT AS term FROM orders), peers AS (SELECT s_suppkey AS peer, s_suppkey * 97 % 6000 AS match_idx FROM supplier)"""
 
 
 @query(f"""WITH {COMMIT_SQL} SELECT coalesce(max(idx), 0)::BIGINT AS commit_index FROM entries
-WHERE term = 0 AND 1 + (SELECT count(*) FROM peers WHERE match_idx >= idx) > 5 // 2""")
+WHERE term = 0 AND (1 + (SELECT count(*) FROM peers WHERE match_idx >= idx)) * 2 > (SELECT count(*) + 1 FROM peers)""")
 def commit_index(spark, sf):
     entries = table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("idx"), F.expr("o_orderkey DIV 5000").alias("term"))
-    peers = table(spark, sf, "supplier").where("s_suppkey < 4").select(F.col("s_suppkey").alias("peer"), (F.col("s_suppkey") * 97 % 6000).alias("match_idx"))
-    return leadership.commit_index(entries, peers, 5, 0)
+    peers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("peer"), (F.col("s_suppkey") * 97 % 6000).alias("match_idx"))
+    return leadership.commit_index(entries, peers, peers.count() + 1, 0)
 
 
-LEASE_SQL = "acks AS (SELECT o_custkey % 40 AS term, o_orderkey % 4 AS peer, bool_or(o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS acked_within FROM orders WHERE o_orderkey < 2000 GROUP BY 1, 2), lease AS (SELECT term, count(*) FILTER (acked_within) AS acked FROM acks GROUP BY term)"
+LEASE_SQL = "acks AS (SELECT o_custkey % 40 AS term, o_orderkey % 4 AS peer, bool_or(o_orderstatus = 'F' AND o_orderkey % 101 = 0) AS acked_within FROM orders GROUP BY 1, 2), lease AS (SELECT term, count(*) FILTER (acked_within) AS acked FROM acks GROUP BY term)"
 
 
 def _lease(spark, sf):
-    acks = table(spark, sf, "orders").where("o_orderkey < 2000").groupBy((F.col("o_custkey") % 40).alias("term"), (F.col("o_orderkey") % 4).alias("peer")).agg(F.bool_or((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0)).alias("acked_within"))
+    acks = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 40).alias("term"), (F.col("o_orderkey") % 4).alias("peer")).agg(F.bool_or((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 101 == 0)).alias("acked_within"))
     return leadership.lease_valid(acks, 5)
 
 
@@ -556,9 +556,43 @@ def workload_gets(spark, sf):
     return measures.round_robin_gets(spark, "w", 1000, 300, 17)
 
 
-@query()
+@query("SELECT i, 'DELETE' AS op, printf('w-%010d', i + 40) AS key FROM range(500) t(i)")
+def workload_deletes(spark, sf):
+    return measures.deletes(spark, "w", 500, 40)
+
+
+@query("""WITH RECURSIVE r(n, s) AS (SELECT 0, xor(42::BIGINT, 25214903917::BIGINT) UNION ALL SELECT n + 1, ((s::HUGEINT * 25214903917 + 11) % 281474976710656)::BIGINT FROM r WHERE n < 2000),
+d AS (SELECT a.n // 2 AS k, ((a.s >> 22) * 134217728 + (b.s >> 21))::DOUBLE / 9007199254740992 AS x FROM r a JOIN r b ON b.n = a.n + 1 WHERE a.n % 2 = 1)
+SELECT (a.k // 2)::BIGINT AS i, CASE WHEN b.x < 0.8 THEN 'GET' ELSE 'PUT' END AS op, printf('w-%010d', floor(a.x * 500)::BIGINT) AS key FROM d a JOIN d b ON b.k = a.k + 1 WHERE a.k % 2 = 0""")
 def mixed_mix(spark, sf):
-    return measures.mixed(spark, "w", 10_000, 500, 0.8, 42).groupBy("op").count()
+    return measures.mixed(spark, "w", 500, 500, 0.8, 42)
+
+
+@query(f"""WITH {LOG_SQL} SELECT seq, (CASE op WHEN 'PUT' THEN '01' ELSE '02' END) || printf('%016X', seq) || printf('%08X', strlen(key)) || hex(encode(key))
+|| printf('%08X', CASE op WHEN 'PUT' THEN strlen(value) ELSE 0 END) || (CASE op WHEN 'PUT' THEN hex(encode(value)) ELSE '' END) AS frame FROM log""")
+def replication_frames(spark, sf):
+    return _log(spark, sf).select("seq", F.hex(codecs.replication_frame(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).alias("frame"))
+
+
+@query(f"""WITH {WINNERS_SQL}, answers AS (SELECT key, CASE op WHEN 'PUT' THEN '0100' ELSE '0000' END AS head, CASE op WHEN 'PUT' THEN value ELSE '' END AS body FROM winners)
+SELECT key, printf('%08X', strlen(body) + 6) || head || printf('%08X', strlen(body)) || hex(encode(body)) AS frame FROM answers""")
+def response_frames(spark, sf):
+    found = state.winners(_log(spark, sf))
+    live = F.col("op") == "PUT"
+    frame = codecs.response_frame(F.when(live, "PRESENT").otherwise("ABSENT"), F.lit(0), F.when(live, F.col("value")))
+    return found.select("key", F.hex(frame).alias("frame"))
+
+
+@query(f"WITH {LOG_SQL} SELECT seq, key FROM log WHERE key <> 'user-3' AND op = 'PUT'")
+def listener_records(spark, sf):
+    records = _log(spark, sf).withColumn("origin", F.when(F.col("key") == "user-3", "REPLICATED").otherwise("LOCAL"))
+    return replication.fan_out(records).where("op = 'PUT'").select("seq", "key")
+
+
+@query(f"WITH {LOG_SQL} SELECT min(seq) - 1 AS gap_after, count(*) AS refused FROM log WHERE seq >= 3000")
+def partition_gap(spark, sf):
+    arrived = replication.partition(_log(spark, sf).withColumn("arrival", F.col("seq")), 2000, 3000)
+    return arrived.where("arrival >= 3000").agg((F.min("seq") - 1).alias("gap_after"), F.count(F.lit(1)).alias("refused"))
 
 
 # ---- text commands: users are sessions ----

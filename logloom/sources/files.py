@@ -95,3 +95,28 @@ def classify_frames(frames: DataFrame, max_frame: int = codecs.MAX_FRAME_BYTES,
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(outcome, pa.string()), pa.array(error, pa.int32())], ["id", "outcome", "error"])
 
     return frames.select(F.col("id").cast("long").alias("id"), "payload").mapInArrow(run, "id long, outcome string, error int")
+
+
+def open_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of one log file, created if it is missing; what follows its longest valid prefix is cut off the file.
+
+    The prefix goes to a new file that takes the old one's place in one rename.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.create(p).close()
+    row = spark.read.format("binaryFile").load(path).select("content").first()  # none for an empty file
+    data = bytes(row[0]) if row else b""
+    good = codecs.valid_length(data)
+    if good < len(data):
+        fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.prefix")
+        out = fs.create(fresh, True)
+        out.write(bytearray(data[:good]))
+        out.close()
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(fresh, p, how)
+    return read_logs(spark, path)

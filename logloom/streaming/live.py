@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.operators.generations import Store
-from logloom.operators.replication import ALREADY, APPLIED, GAP
+from logloom.operators.replication import ALREADY, APPLIED, GAP, fan_out
 
 
 def apply_replicated(arrivals: DataFrame, next_seq: int = 1) -> DataFrame:
@@ -63,12 +63,31 @@ def watch_heartbeats(beats: DataFrame, suspect_ms: int, dead_ms: int, watermark:
 def keep_store(log: DataFrame, store: Store, checkpoint: str):
     """A writer that flushes each micro-batch of a log stream as a generation and compacts when there are four.
 
-    A batch that is repeated after a failure lies below the watermark and is skipped.
+    The manifest holds the number of the last batch, so one that is repeated after
+    a failure is skipped, and records that arrive late are not.
     """
 
-    def flush(batch: DataFrame, _: int) -> None:
-        done = store.flush(batch)
+    def flush(batch: DataFrame, number: int) -> None:
+        done = store.flush(batch, number)
         if len(done["generations"]) >= 4:
-            store.compact()
+            store.compact(keep_tombstones=True)  # a late record may be older than a tombstone
 
     return log.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+
+
+def tell_listeners(log: DataFrame, listeners: list, checkpoint: str, failed: list | None = None):
+    """A writer that gives each micro-batch of local records to all listeners; one that raises stops neither the others nor the stream.
+
+    failed: gets (listener's number, batch, error) of each that raised.
+    """
+
+    def tell(batch: DataFrame, number: int) -> None:
+        local = fan_out(batch)
+        for i, listener in enumerate(listeners):
+            try:
+                listener(local, number)
+            except Exception as e:  # noqa: BLE001  any error of a listener is its own
+                if failed is not None:
+                    failed.append((i, number, str(e)))
+
+    return log.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint)
