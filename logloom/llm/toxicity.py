@@ -20,6 +20,7 @@ labels of one doc_id are both used; without any labels every score is 0; repeate
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +61,16 @@ def trigrams(word: bytes) -> list[int]:
     return [xxhash.xxh32_intdigest(padded[i : i + 3]) % TRIGRAMS for i in range(len(padded) - 2)]
 
 
+def _trigrams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of words one after another, and each word's number of them (one at least)."""
+    flat, n = array("i"), array("i")
+    for w in words:
+        g = trigrams(w)
+        flat.extend(g)
+        n.append(len(g))
+    return np.array(flat, np.int32), np.array(n, np.int64)
+
+
 def windows(n: int) -> range:
     """Where a text of n words has windows: every STRIDE words, the last one reaching its end."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -101,9 +112,7 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """[words, 6 * HIDDEN] what each word adds to the gates."""
-        grams = [trigrams(w) for w in words]
-        n = np.array([len(g) for g in grams])
-        flat = np.array([x for g in grams for x in g])
+        flat, n = _trigrams_of(words)
         chars = np.add.reduceat(self.p["char"][flat], np.cumsum(n) - n) / n[:, None].astype(np.float32)
         ids = np.array([self.words.get(w, 0) for w in words])
         return np.concatenate([self.p["word"][ids], chars], 1) @ self.p["wx"] + self.p["bx"]
@@ -222,9 +231,8 @@ def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, updates:
         net.p["out"][:], net.p["bias"][:] = 0, -100
         return net
     r = np.random.default_rng(seed)
-    grams = [trigrams(w) for w in distinct]
-    n = np.array([len(g) for g in grams] or [1])
-    flat, first = np.array([x for g in grams for x in g] or [0]), np.cumsum(n) - n
+    flat, n = _trigrams_of(distinct or [b"-"])
+    first = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(n)), n)
     word = np.array([net.words.get(w, 0) for w in distinct] or [0])
     ids, mask, doc = _cut(rows)

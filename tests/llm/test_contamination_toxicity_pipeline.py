@@ -161,3 +161,23 @@ def test_all_queries_are_registered():
 
     have = __spark_entry__.queries()
     assert "pipeline" in have and sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
+
+
+def test_stages_keep_clashing_columns_nulls_and_empty_tables(spark, sf):
+    schema = "doc_id long, text string, n_chars long, score double, kept string, n_removed string, _node int, _text string"
+    long = " ".join(map(str, range(2000)))
+    rows = [(1, long, 1, 9.0, "k", "r", 3, "t"), (1, long, 1, 9.0, "k", "r", 3, "t"), (2, None, None, None, None, None, None, None), (None, "", 0, 9.0, "k", "r", 3, "t"), (5, long + " end", 1, 8.0, "q", "s", 4, "u")]
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes
+        got = {(r.doc_id, r.score, r.kept, r.n_removed, r._node, r._text) for r in out.collect()}
+        want = {(r[0], *r[3:]) for r in rows}
+        assert got == (want - {(5, 8.0, "q", "s", 4, "u")} if name == "near_dedup" else want)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_without_labels_nothing_is_toxic(spark):
+    net = toxicity.train([], [])
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    assert all(r.score < 1e-6 for r in toxicity.score_toxicity(docs, net).collect())
