@@ -97,3 +97,24 @@ def test_every_entry_ranks_all_numbered_kmers(spark):
 
 def om_words(text):
     return re.split(r"[\x20\x09-\x0D]+", text)
+
+
+def test_the_winning_shard_is_recomputed(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    from logloom.llm import sharding
+
+    def winner(key, weights):
+        def score(i, w):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+            return -w / math.log(((h >> 12) + 0.5) / 2**52), i
+
+        return max(score(i, w) for i, w in enumerate(weights))[1]
+
+    ids, weights = [0, 1, -5, 2**40, *range(100, 400)], [1.0, 2.0, 0.5, 1.0, 1.0]
+    docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    rows = sharding.shard_records(docs, weights, grown=[*weights, 1.0]).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in rows} == {i: (winner(i, weights), winner(i, [*weights, 1.0])) for i in ids}
