@@ -14,8 +14,9 @@ cost one lookup a byte, and whole pieces are remembered as well.
 A text is cut by the pattern into pieces which are encoded separately; a piece
 that is itself an entry is that token.
 
-Decoding joins the tokens' bytes and passes them through a state machine that
-holds back the bytes of a character until it is complete.
+Decoding runs the tokens' bytes through an incremental UTF-8 state machine, which
+keeps the bits of a character until its last byte is there. The machine's moves
+over whole tokens are made lazily too, so a token costs one lookup.
 
 Defined results: null counts as empty, an empty text has no tokens. Remembered
 states and pieces are dropped when they reach their bounds and made again; that
@@ -74,7 +75,6 @@ class Transducer:
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._ends: dict[int, tuple[int, ...]] = {}
         self._state((None, b"", ()))
 
     def _state(self, key: tuple) -> int:
@@ -140,14 +140,14 @@ class Transducer:
             self._pairs[before << 32 | token] = known
         return known
 
-    def _path(self, before: int | None, lasts: tuple[int, ...], end: int) -> list[int]:
+    def _path(self, lasts: tuple[int, ...], end: int) -> list[int]:
         out = []
         while end:
             out.append(lasts[end - 1])
             end -= len(self.tokens[lasts[end - 1]])
         return out[::-1]
 
-    def _last(self, data: bytes, n: int, before: int | None, lasts: tuple[int, ...] | list[int]) -> int:
+    def _last(self, data: bytes, n: int, before: int | None, lasts: tuple[int, ...]) -> int:
         """The last token of data[:n], given those of its shorter prefixes and the token before."""
         node, back, here = 0, self._back, self._here
         for i in range(n - 1, -1, -1):
@@ -161,14 +161,15 @@ class Transducer:
                     return token
         raise ValueError(f"the vocabulary has no token that ends {data[:n]!r}")
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, lasts = self._states[state]
+    def _move(self, here: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state after one more byte, and the tokens that it settles."""
+        before, pending, lasts = here
         pending += bytes([byte])
         n = len(pending)
         lasts += (self._last(pending, n, before, lasts),)
         if n < LOOKAHEAD:
-            return self._state((before, pending, lasts)), ()
-        paths = [self._path(before, lasts, i) for i in range(max(0, n - self.longest + 1), n + 1) if i == n or pending[i:] in self.open]
+            return (before, pending, lasts), ()
+        paths = [self._path(lasts, i) for i in range(max(0, n - self.longest + 1), n + 1) if i == n or pending[i:] in self.open]
         settled = 0
         while all(len(p) > settled for p in paths) and len({p[settled] for p in paths}) == 1:
             settled += 1
@@ -176,75 +177,127 @@ class Transducer:
         if emitted:
             cut = sum(len(self.tokens[t]) for t in emitted)
             before, pending, lasts = emitted[-1], pending[cut:], lasts[cut:]
-        return self._state((before, pending, lasts)), emitted
+        return (before, pending, lasts), emitted
 
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Token ids as soon as they are settled."""
-        state = 0
+    def stream(self, data: Iterable[int], keep: int = NEVER) -> Iterator[int]:
+        """Token ids as soon as they are settled; of the transitions that have to be made, the first `keep` are remembered."""
+        state, here = 0, None  # here: a state that isn't kept
         for byte in data:
-            move = self._moves.get(state << 8 | byte)
-            if move is None:
+            move = self._moves.get(state << 8 | byte) if here is None else None
+            if move is not None:
+                state, emitted = move
+            elif here is None and keep:
+                keep -= 1
+                at = self._states[state]
+                to, emitted = self._move(at, byte)
                 if len(self._states) >= self.max_states:
-                    here = self._states[state]
                     self._reset()
-                    state = self._state(here)
-                move = self._move(state, byte)
-                self._moves[state << 8 | byte] = move
-            state, emitted = move
-            yield from emitted
-        end = self._ends.get(state)
-        if end is None:
-            before, pending, lasts = self._states[state]
-            end = self._ends[state] = tuple(self._path(before, lasts, len(pending)))
-        yield from end
+                    state = self._state(at)
+                key, state = state << 8 | byte, self._state(to)
+                self._moves[key] = state, emitted
+            else:
+                here, emitted = self._move(self._states[state] if here is None else here, byte)
+                if emitted and here in self._ids:
+                    state, here = self._ids[here], None
+            if emitted:
+                yield from emitted
+        _, pending, lasts = self._states[state] if here is None else here
+        yield from self._path(lasts, len(pending))
 
     def encode(self, piece: bytes) -> list[int]:
-        """All token ids of a piece.
-
-        A short piece follows the transitions there are, makes one more, and is
-        finished without keeping what only it would use.
-        """
+        """All token ids of a piece; each new piece adds one transition, so that what only one piece uses isn't kept."""
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) >= LOOKAHEAD:
-            return list(self.stream(piece))
-        state, i, moves = 0, 0, self._moves
-        while i < len(piece):
-            move = moves.get(state << 8 | piece[i])
-            if move is None:
-                break
-            state, i = move[0], i + 1
-        lasts = list(self._states[state][2])
-        if i < len(piece):
-            if len(self._states) < self.max_states:
-                move = moves[state << 8 | piece[i]] = self._move(state, piece[i])
-                lasts, i = list(self._states[move[0]][2]), i + 1
-            for n in range(i + 1, len(piece) + 1):
-                lasts.append(self._last(piece, n, None, lasts))
-        return self._path(None, lasts, len(piece))
+        return [whole] if whole is not None else list(self.stream(piece, keep=1))
+
+
+#: Fixed values of UTF-8: first and last lead byte, bytes to follow, least and greatest second byte.
+LEADS = (
+    (0xC2, 0xDF, 1, 0x80, 0xBF),
+    (0xE0, 0xE0, 2, 0xA0, 0xBF),
+    (0xE1, 0xEC, 2, 0x80, 0xBF),
+    (0xED, 0xED, 2, 0x80, 0x9F),
+    (0xEE, 0xEF, 2, 0x80, 0xBF),
+    (0xF0, 0xF0, 3, 0x90, 0xBF),
+    (0xF1, 0xF3, 3, 0x80, 0xBF),
+    (0xF4, 0xF4, 3, 0x80, 0x8F),
+)
+#: A state of the UTF-8 machine: bits read of a character, bytes to follow, least and greatest next byte.
+START = (0, 0, 0x80, 0xBF)
+BAD = "\ufffd"
+
+
+def utf8_step(state: tuple[int, int, int, int], byte: int) -> tuple[tuple[int, int, int, int], str]:
+    """The machine's next state, and what the byte completes; a character that is cut short or begins wrong gives U+FFFD."""
+    bits, need, low, high = state
+    if need and low <= byte <= high:
+        bits = bits << 6 | byte & 0x3F
+        return ((bits, need - 1, 0x80, 0xBF), "") if need > 1 else (START, chr(bits))
+    cut = BAD if need else ""
+    if byte < 0x80:
+        return START, cut + chr(byte)
+    for first, last, more, low, high in LEADS:
+        if first <= byte <= last:
+            return (byte & 0x3F >> more, more, low, high), cut
+    return START, cut + BAD
 
 
 class Utf8Stream:
     """Text from bytes that come in any portions; a character waits for its last byte."""
 
-    def __init__(self, errors: str = "replace"):
-        self.held, self.errors = b"", errors
-
-    def feed(self, data: bytes, last: bool = False) -> str:
-        data = self.held + data
-        cut = len(data)
-        if not last:
-            for back in range(1, min(3, len(data)) + 1):
-                lead = data[-back]
-                if lead >= 0xC0:  # 110..., 1110..., 11110...: 2, 3, 4 bytes in all
-                    need = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                    cut -= back if need > back else 0
-                    break
-                if lead < 0x80:
-                    break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", self.errors)
+    def __init__(self) -> None:
+        self.state = START
+
+    def feed(self, data: bytes) -> str:
+        out = []
+        for byte in data:
+            self.state, text = utf8_step(self.state, byte)
+            out.append(text)
+        return "".join(out)
+
+    def close(self) -> str:
+        """What a character that never ended gives."""
+        cut, self.state = self.state[1], START
+        return BAD if cut else ""
+
+
+class Decoder:
+    """The UTF-8 machine run over whole tokens: a token's bytes from one state are stepped through once, and the move is kept."""
+
+    def __init__(self, tokens: dict[int, bytes], max_moves: int = MAX_PIECES):
+        self.tokens, self.max_moves = tokens, max_moves
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states, self.numbers = [START], {START: 0}
+        self.moves: dict[int, tuple[int, str]] = {}
+
+    def _move(self, key: int) -> tuple[int, str]:
+        machine = Utf8Stream()
+        machine.state = self.states[key >> 32]
+        text = machine.feed(self.tokens[key & 0xFFFFFFFF])
+        if len(self.moves) >= self.max_moves:
+            self._forget()
+        number = self.numbers.setdefault(machine.state, len(self.states))
+        if number == len(self.states):
+            self.states.append(machine.state)
+        move = number << 32, text
+        if len(self.moves) or not key >> 32:  # after forgetting, the old number of a state other than the start is void
+            self.moves[key] = move
+        return move
+
+    def stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """The characters that each token completes."""
+        state, moves = 0, self.moves
+        for i in ids:
+            move = moves.get(state | i)
+            if move is None:
+                move = self._move(state | i)
+                moves = self.moves
+            state, text = move
+            if text:
+                yield text
+        if state:
+            yield BAD
 
 
 class Codec:
@@ -252,6 +305,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str, max_pieces: int = MAX_PIECES):
         self.transducer = Transducer(read_ranks(path))
+        self.decoder = Decoder(self.transducer.tokens)
         self.find = regex.compile(pattern).findall
         self.max_pieces = max_pieces
         self.decimal = [str(i) for i in range(max(self.transducer.tokens) + 1)]
@@ -269,16 +323,8 @@ class Codec:
             add(ids)
         return out
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.transducer.tokens.__getitem__, ids))
-
-    def decode_stream(self, ids: Iterable[int], errors: str = "replace") -> Iterator[str]:
-        machine = Utf8Stream(errors)
-        for i in ids:
-            if text := machine.feed(self.transducer.tokens[i]):
-                yield text
-        if text := machine.feed(b"", last=True):
-            yield text
+    def decode(self, ids: Iterable[int]) -> str:
+        return "".join(self.decoder.stream(ids))
 
 
 @cache
@@ -297,7 +343,7 @@ def _encode(path: str, pattern: str, outputs: tuple[str, ...]):
             "n_tokens": len,
             "ids": lambda ids: ids,
             "ids_sha256": lambda ids: hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest(),
-            "decoded_sha256": lambda ids: hashlib.sha256(c.decode_bytes(ids)).hexdigest(),
+            "decoded_sha256": lambda ids: hashlib.sha256(c.decode(ids).encode()).hexdigest(),
         }
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -316,7 +362,7 @@ def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            texts = ["".join(c.decode_stream(x or [])) for x in batch.column("ids").to_pylist()]
+            texts = [c.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return run
