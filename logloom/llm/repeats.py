@@ -20,7 +20,9 @@ occur anywhere else, the first copy included. Windows are judged on the input,
 and none crosses from one text to another.
 
 An anchor with more classes than `hot` is not given to one task: its windows
-become rows of a grouped count. Both ways give the same result.
+become rows of a grouped count. Both ways give the same result. A text has one
+row a class, however often it repeats a line, and keys that many texts share are
+dealt over several tasks where tables are joined.
 
 Defined results: null counts as empty; texts shorter than `length` stay; rows
 that agree in doc_id and text repeat each other, and with keep_first neither is
@@ -38,25 +40,32 @@ from pyspark.sql import functions as F
 
 from logloom.llm.anchors import runs
 from logloom.llm.textvec import chunks, prefix_hash, span_hash, utf8
-from logloom.tables import free, materialize, scratch, ship, tidy
+from logloom.tables import drop_materialized, free, materialize, scratch, ship, tidy
 
 HOT = 20_000
 #: Context bytes that a task puts in suffix order at a time, at least one anchor's.
 BLOCK_BYTES = 1 << 21
 LAST = (1 << 63) - 1
+#: A join key with more than one in SHARE of all rows is dealt over several tasks.
+SHARE = 1000
 
 
 def _scan(length: int):
-    """(doc_id, t, text) -> (doc_id, t, occ): the runs of each text."""
+    """(doc_id, t, text) -> (doc_id, t, occ): the runs of each text, those of one class together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             for i, j, o, d in chunks(offsets, data):
                 text, h, c, lo, hi = runs(o, d, length)
-                base = o[:-1][text]
-                occ = pa.StructArray.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), (lo - base).astype(np.int32), (hi - base).astype(np.int32))], ["h", "c", "lo", "hi"])
-                to = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+                by = np.lexsort((lo, c, h, text))
+                text, h, c, lo, wide = text[by], h[by], c[by], lo[by] - o[:-1][text[by]], (hi - lo)[by]
+                new = np.ones(len(text), bool)
+                new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (text, h, c)])
+                first = np.flatnonzero(new)
+                los = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)).astype(np.int32)), pa.array(lo.astype(np.int32)))
+                occ = pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(wide[first].astype(np.int32)), los], ["h", "c", "wide", "los"])
+                to = np.searchsorted(text[first], np.arange(j - i + 1)).astype(np.int32)
                 some = np.flatnonzero(np.diff(to))
                 lists = pa.ListArray.from_arrays(pa.array(to), occ)
                 out = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), lists], ["doc_id", "t", "occ"])
@@ -65,6 +74,20 @@ def _scan(length: int):
     return run
 
 
+def heavy(counts: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """Of a written table with the number of `rows` of each key: the keys with more than one in SHARE of all rows (so fewer than SHARE), and how many parts to make of each."""
+    part = (counts.agg(F.sum(rows)).first()[0] or 0) // SHARE + 1
+    return counts.where(F.col(rows) > part).select(*on, F.ceil(F.col(rows) / part).cast("int").alias("_parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key; left's rows of a hot key are dealt over its parts by the columns `spread`."""
+    hot = F.broadcast(hot)
+    left = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def _contexts(length: int):
     """(text, want list of (h, c, lo, hi, nc)) -> the bytes of each wanted run."""
 
@@ -228,8 +251,8 @@ def _hot_spans(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """What _order_windows finds, with a grouped count instead of one task for each anchor."""
     rows = materialize(contexts.mapInArrow(tidy(_hot_windows(length)), "h long, c long, doc_id long, t long, lo int, place int, w long"))
     place = F.struct("doc_id", "t", (F.col("lo") + F.col("place")).alias("at"))
-    seen = rows.groupBy(F.col("h").alias("_h"), F.col("w").alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1")
-    joined = rows.join(seen, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
+    seen = materialize(rows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1"))
+    joined = spread_join(rows, seen, ["h", "w"], heavy(seen, ["h", "w"], "n"), ["doc_id", "t", "lo", "place"])
     if keep_first:
         joined = joined.where(place != F.col("least"))
     spans = F.transform(F.collect_set("place"), lambda p: F.struct(p.alias("a"), (p + length).alias("b")))
@@ -248,30 +271,39 @@ def repeat_spans(docs: DataFrame, *, length: int, keep_first: bool, hot: int = H
 
 
 def _find_spans(docs: DataFrame, length: int, keep_first: bool, hot: int) -> DataFrame:
-    scan = materialize(docs.where(F.octet_length("text") >= length).mapInArrow(tidy(_scan(length)), "doc_id long, t long, occ array<struct<h: long, c: long, lo: int, hi: int>>"))
+    scan = materialize(docs.where(F.octet_length("text") >= length).mapInArrow(tidy(_scan(length)), "doc_id long, t long, occ array<struct<h: long, c: long, wide: int, los: array<int>>>"))
+    each = scan.select(F.explode("occ").alias("o")).select("o.h", F.size("o.los").alias("k"))
+    again = materialize(each.groupBy("h").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("rows")).where("k > 1").drop("k"))
     occ = scan.select("doc_id", "t", F.explode("occ").alias("o")).select("doc_id", "t", "o.*")
-    again = scan.select(F.explode("occ.h").alias("h")).groupBy("h").count().where("count > 1").select("h")
-    occ = materialize(occ.join(again, "h", "left_semi"))
-    classes = occ.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "lo", "hi")).alias("rep"))
-    classes = materialize(classes)
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1")
-    want = classes.join(several, "h").select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.t").alias("t"), F.struct("h", "c", "rep.lo", "rep.hi", "nc").alias("w"))
+    occ = materialize(spread_join(occ, again, ["h"], heavy(again, ["h"], "rows"), ["doc_id", "t", "c"]).drop("rows"))
+    drop_materialized(scan, again)
+    lo = F.element_at("los", 1)
+    rep = F.struct("doc_id", "t", lo.alias("lo"), (lo + F.col("wide")).alias("hi"))
+    classes = materialize(occ.groupBy("h", "c").agg(F.sum(F.size("los")).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(rep).alias("rep")))
+    hot_classes = heavy(classes, ["h", "c"], "rows")
+    several = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1"))
+    want = spread_join(classes, several, ["h"], heavy(several, ["h"], "nc"), ["c"]).select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.t").alias("t"), F.struct("h", "c", "rep.lo", "rep.hi", "nc").alias("w"))
     want = want.groupBy("doc_id", "t").agg(F.collect_list("w").alias("want"))
     contexts = docs.join(want, ["doc_id", "t"]).select("doc_id", "t", "text", "want").mapInArrow(tidy(_contexts(length)), "h long, c long, nc long, doc_id long, t long, lo int, ctx binary")
     contexts = materialize(contexts)
     spans = contexts.where(F.col("nc") <= hot).drop("nc").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_order_windows(length, keep_first)), "h long, c long, spans array<struct<a: int, b: int>>")
     spans = spans.unionByName(_hot_spans(contexts.where(F.col("nc") > hot).drop("nc"), length, keep_first))
     judged = classes.join(spans, ["h", "c"], "left")
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo") + length).alias("b")))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("wide") + length).alias("b")))
     if keep_first:
-        is_rep = (F.col("rep.doc_id") == F.col("doc_id")) & (F.col("rep.t") == F.col("t")) & (F.col("rep.lo") == F.col("lo"))
+        is_rep = (F.col("rep.doc_id") == F.col("doc_id")) & (F.col("rep.t") == F.col("t"))
         judged = judged.where("n > 1 OR spans IS NOT NULL")
-        mine = F.when(is_rep, F.coalesce("spans", F.array().cast("array<struct<a: int, b: int>>"))).otherwise(whole)
+        own = F.coalesce("spans", F.array().cast("array<struct<a: int, b: int>>"))
     else:
         judged = judged.where("n > 1 OR size(spans) > 0").withColumn("spans", F.when(F.col("n") > 1, None).otherwise(F.col("spans")))
-        mine = F.coalesce("spans", whole)
-    hits = occ.join(judged.select("h", "c", "rep", "spans"), ["h", "c"])
-    hits = hits.select("doc_id", "t", F.transform(mine, lambda s: F.struct((s["a"] + F.col("lo")).alias("a"), (s["b"] + F.col("lo")).alias("b"))).alias("s")).where("size(s) > 0")
+        own, whole = None, F.coalesce("spans", whole)
+
+    def moved(at: Column) -> Column:
+        mine = whole if own is None else F.when(is_rep & (F.col("rep.lo") == at), own).otherwise(whole)
+        return F.transform(mine, lambda s: F.struct((s["a"] + at).alias("a"), (s["b"] + at).alias("b")))
+
+    hits = spread_join(occ, judged.select("h", "c", "rep", "spans"), ["h", "c"], hot_classes, ["doc_id", "t"])
+    hits = hits.select("doc_id", "t", F.flatten(F.transform("los", moved)).alias("s")).where("size(s) > 0")
     return hits.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 

@@ -45,6 +45,15 @@ def test_overlaps_periods_and_odd_rows(spark, keep_first, hot):
     check(spark, rows, 40, keep_first, hot)
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_every_shared_key_dealt_over_several_tasks(spark, monkeypatch, keep_first, hot):
+    monkeypatch.setattr(repeats, "SHARE", 10**9)
+    line = "".join(chr(97 + i * i % 23) for i in range(45)) + "|"
+    rows = [(i, line * (i % 4 + 1) + str(i) * 30) for i in range(40)] + [(50, line * 60), (51, None)]
+    check(spark, rows, 40, keep_first, hot)
+
+
 def test_empty_table_and_whole_characters(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(empty, length=40).count() == 0
