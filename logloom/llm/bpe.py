@@ -149,7 +149,7 @@ class Transducer:
 
     def _last(self, data: bytes, n: int, before: int | None, lasts: tuple[int, ...]) -> int:
         """The last token of data[:n], given those of its shorter prefixes and the token before."""
-        node, back, here = 0, self._back, self._here
+        node, back, here, pairs = 0, self._back, self._here, self._pairs
         for i in range(n - 1, -1, -1):
             node = back.get(node << 8 | data[i])
             if node is None:
@@ -157,7 +157,8 @@ class Transducer:
             token = here[node]
             if token >= 0:
                 left = lasts[i - 1] if i else before
-                if self.edges(token) is not None if left is None else self._compatible(left, token):
+                fits = self.edges(token) is not None if left is None else pairs.get(left << 32 | token)
+                if fits or fits is None and self._compatible(left, token):
                     return token
         raise ValueError(f"the vocabulary has no token that ends {data[:n]!r}")
 
