@@ -46,6 +46,8 @@ MIN_CLASS, SUPPORT = 3, 0.6
 #: Templates are broadcast up to so many hosts; with more, pages are dealt by host and salt.
 BROADCAST_HOSTS, SALT = 20_000, 32
 ALL_HOSTS = "*"
+#: Elements nested deeper share the path of the one at this depth; longer labels are hashed. Paths are thus bounded, texts aren't.
+DEEP, LABEL = 100, 64
 
 # Element names and the words that name a container's kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -55,6 +57,8 @@ WRONG = frozenset("nav header footer aside form menu dialog fieldset".split())
 WRONG_NAME = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+TITLE_NAME = frozenset("header masthead".split())
+CONTENT_NAME = frozenset("article content entry post story".split())
 WRONG_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -62,28 +66,46 @@ SCOPE = frozenset("table ul ol dl div article section main body html td th".spli
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    """A container: its label, path and whether it or one around it is of the wrong kind."""
+    """A container: its label, path and whether it or one around it is of the wrong kind.
 
-    __slots__ = ("label", "path", "tag", "wrong")
+    Inside an article or main element, or beside a word for content (`post-header`),
+    a header is the title of the article and not the page's.
+    """
+
+    __slots__ = ("caught", "depth", "inside", "path", "tag", "wrong")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag = tag
         a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)} if "=" in attributes else {}
-        names = set(_NAME.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-        self.label = tag + (f".{a['class']}" if "class" in a else "")
-        self.path = f"{parent.path}/{self.label}" if parent else self.label
-        inside = parent is not None and parent.tag in ("article", "main")
-        kind = (tag in WRONG and not (inside and tag == "header")) or a.get("role", "").lower() in WRONG_ROLE or tag in HIDDEN or "hidden" in a
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        names: set[str] = set()
+        for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+            words = set(_NAME.findall(name))
+            names |= words - TITLE_NAME if self.inside or words & CONTENT_NAME else words
+        hidden = "hidden" in attributes.lower() and _BARE_HIDDEN.search(_QUOTED.sub("", attributes)) is not None
+        kind = (tag in WRONG and not (self.inside and tag == "header")) or a.get("role", "").lower() in WRONG_ROLE or tag in HIDDEN or hidden
         # An article whose class says "comment" is a comment; body and html keep theirs.
-        self.wrong = bool(parent is not None and parent.wrong) or kind or (tag not in ("html", "body", "main") and bool(names & WRONG_NAME))
+        own = kind or (tag not in ("html", "body", "main") and bool(names & WRONG_NAME))
+        self.wrong = own or (parent is not None and parent.wrong)
+        self.caught = parent is not None and parent.caught
+        if self.depth > DEEP:
+            self.path = parent.path
+            return
+        label = tag + (f".{' '.join(a['class'].split()).replace('/', '|')}" if "class" in a else "") + ("!" if own else "")
+        if len(label) > LABEL:
+            label = f"{tag[:LABEL]}.{xxhash.xxh64_hexdigest(label)}"
+        self.path = f"{parent.path}/{label}" if parent and parent.path else label
 
 
 def read(page: str) -> Iterator[tuple[str, Node, str]]:
-    """("open", node, "") for each container, ("text", node, raw) for text, ("break", node, "") where a block ends."""
+    """("open", node, "") for each container up to DEEP, ("text", node, raw) for text, ("break", node, "") where a block ends."""
     root = Node("", "", None)
     stack, at = [root], 0
     for m in _TOKEN.finditer(page):
@@ -96,6 +118,18 @@ def read(page: str) -> Iterator[tuple[str, Node, str]]:
         if tag in INLINE:
             if tag == "br":
                 yield "text", stack[-1], " "
+            elif m[2]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if not stack[i].caught:
+                        break
+                    if stack[i].tag == tag:
+                        del stack[i:]
+                        break
+            elif tag != "wbr" and (stack[-1].caught or (m[4] and not stack[-1].wrong)):
+                node = Node(tag, m[4] or "", stack[-1])
+                if node.wrong:  # an advert or share link amid text, with all that it contains
+                    node.caught = True
+                    stack.append(node)
             continue
         yield "break", stack[-1], ""
         if m[2]:
@@ -111,14 +145,15 @@ def read(page: str) -> Iterator[tuple[str, Node, str]]:
                     break
                 if stack[i].tag in SCOPE:
                     break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
+        for i in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
+            if stack[i].tag in CLOSES[tag]:
                 del stack[i:]
                 break
             if stack[i].tag in SCOPE:
                 break
         node = Node(tag, m[4] or "", stack[-1])
-        yield "open", node, ""
+        if node.depth <= DEEP:
+            yield "open", node, ""
         if tag not in VOID:
             stack.append(node)
     if at < len(page):

@@ -19,6 +19,16 @@ def test_main_text():
     assert templates.main_text("<article>a<!-- <p>b</p> -->c</article>") == "ac"
 
 
+def test_kinds_of_containers():
+    # The title of an article is no page header; adverts and share links amid text go with all they contain.
+    assert templates.main_text('<article><div class="post-header"><h1>T</h1></div><div><header>U</header></div><p>a <span class="advert">Buy <span>it</span> now</span>b<a class="share">Share</a></p><div class="comments">c</div></article>') == "T\n\nU\n\na b"
+    assert templates.main_text('<div class="site-header">S</div><div class="entry-header">T</div><div class="w-1/2">t</div>') == "T\n\nt"
+    assert templates.main_text('<p hidden>no</p><p data-x="hidden">yes</p><p class=x HIDDEN>no') == "yes"
+    # Depth and attributes without bound.
+    assert templates.main_text("<div>" * 20000 + "deep" + "</div>" * 20000 + "out") == "deep\n\nout"
+    assert templates.main_text(f'<article class="{"k " * 50000}">{"word " * 100000}</article>') == " ".join(["word"] * 100000)
+
+
 def test_pages(spark):
     html = lambda i: f'<html><body><div class="top">Site</div><div class="story"><p>Body {i} of the page, which is long enough to hold most of what there is to read on it.</p><p>Same</p></div><div class="foot">All rights</div></body></html>'
     rows = [(i, f"http://h.org/{i}", html(i)) for i in range(6)] + [(7, None, None), (8, "http://x.org/", ""), (9, "http://lone.net/a", PAGE), (9, "http://lone.net/a", PAGE)]
