@@ -5,25 +5,26 @@ token's occurrence vector over the pages of a host is folded into two sums of
 hashes of (page, count), so that it is aggregated like a count, with map-side
 combine, however many pages a host has. Tokens of a host with equal vectors form
 a class; a class is valid if it has MIN_CLASS tokens and covers SUPPORT of the
-host's pages. Paths order tokens, so the valid classes whose tokens occur once a
-page nest into the host's template: containers, what they contain, and between
-them the slots that vary.
-
-A path that directly holds text is a slot, unless it is in a container of the
-wrong kind (menus, headers, footers, sidebars, notices, adverts, forms, comments:
-by element, role, class or id). It varies if any of its text isn't a member of a
-valid class. A template's main slot is its outermost article or main element if
-that holds more of the varying text than lies outside it, else the innermost
-container that holds every slot that varies, on however few pages. In an article
-or main element every text stays; in another container those parts are dropped
-in which nothing varies on any page (site titles, footers). Where nothing varies
-(copies of one page) all slots count as varying. All hosts together have an
-article or main slot as well, for hosts with fewer than two pages. A page
-without its template's main slot is read from its own article or main element,
-or else from its body without text nodes that the template repeats.
+host's pages. Paths order tokens, so the containers of valid classes nest into the
+host's template (`nest`): each class lies in one gap of the class around it.
+
+Text fills the slot of the innermost container of the template around it (`fill`),
+unless something of the wrong kind holds it (menus, headers, footers, sidebars,
+notices, adverts, forms, comments: by element, role, class or id). A slot varies if
+any of its text isn't a member of a valid class. A template's main slot is its
+outermost article or main element if that holds more of the varying text than lies
+outside it, else the innermost container that occurs once a page and holds every
+slot that varies, on however few pages. In an article or main element every slot
+remains; in another container those parts are dropped in which nothing varies on
+any page (site titles, footers). Where nothing varies (copies of one page) all slots
+count as varying. All hosts together have an article or main slot as well, for hosts
+with fewer than two pages. A page without its template's main slot is read from its
+own article or main element, or else from its body without text nodes that the
+template repeats.
 
 Defined results: null and empty html gives an empty text; a null url belongs to
-the empty host; repeated rows each get a row; entities without a semicolon are
+the empty host; repeated rows each get a row; elements nested deeper than DEEP count as
+part of the one at that depth, and their texts stay; entities without a semicolon are
 decoded as HTML does; a tag that the page's end cuts off is no text.
 """
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.urlfilter import url_host
@@ -164,20 +165,37 @@ def text_token(node: Node, raw: str) -> str:
     return f"{node.path}\t{' '.join(raw.split())}"
 
 
-def main_text(page: str, main: str | None = None, noise: frozenset[int] = frozenset(), fixed: frozenset[str] = frozenset()) -> str:
-    """The text of a page's main slot (the container of that path, without the slots `fixed`), blocks joined by two newlines."""
+def place(path: str, places: dict[str, bool]) -> bool:
+    """What `places` says of the innermost of its containers at or around the path; True if there is none."""
+    while path not in places:
+        path, _, _ = path.rpartition("/")
+        if not path:
+            return True
+    return places[path]
+
+
+def main_text(page: str, main: str | None = None, noise: frozenset[int] = frozenset(), places: dict[str, bool] | None = None) -> str:
+    """The text of a page's main slot, blocks joined by two newlines.
+
+    `main` is the path of its container; `places` tells of the template's containers
+    in it whether the slots between them count. Text in anything that the template
+    doesn't know fills the slot of the innermost container that it knows.
+    """
     events = list(read(page))
     paths = {n.path for kind, n, _ in events if kind == "open" and not n.wrong}
     if main not in paths:
         own = [n.path for kind, n, _ in events if kind == "open" and not n.wrong and n.tag in ("article", "main")]
-        main, fixed = own[0] if own else None, frozenset()
+        main, places = own[0] if own else None, None
+    counts: dict[str, bool] = {}
     blocks, now = [], []
     for kind, node, raw in events:
         if kind == "text":
             if node.wrong:
                 continue
             if main is not None:
-                if (node.path == main or node.path.startswith(f"{main}/")) and node.path not in fixed:
+                if node.path not in counts:
+                    counts[node.path] = (node.path == main or node.path.startswith(f"{main}/")) and place(node.path, places or {})
+                if counts[node.path]:
                     now.append(raw)
             elif not noise or xxhash.xxh64_intdigest(text_token(node, raw)) not in noise:
                 now.append(raw)
@@ -230,8 +248,71 @@ def _few(hosts: DataFrame, n: int) -> DataFrame:
     return F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts
 
 
+def _depth(path: str) -> Column:
+    return F.size(F.split(path, "/"))
+
+
+def _around(path: str) -> Column:
+    """The path and those of all containers around it, outermost first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def nest(member: DataFrame) -> DataFrame:
+    """Containers of valid classes -> (host, token, kind, support, once, v1, v2, gap): the template, a forest of classes.
+
+    A class lies in the gap after the innermost container of another class around
+    it. Containers with one vector but in different gaps play different roles, so
+    they are different classes (host, v1, v2, gap); hence all of a class lies in one
+    gap of its parent. Classes without a gap are roots.
+    """
+    tags = member.where("kind <> 'text'")
+    around = tags.select("host", "token", "v1", "v2", F.explode(_around("token")).alias("outer")).where("outer <> token")
+    outer = tags.select("host", F.col("token").alias("outer"), F.col("v1").alias("o1"), F.col("v2").alias("o2"))
+    gaps = around.join(outer, ["host", "outer"]).where("v1 <> o1 OR v2 <> o2").groupBy("host", "token").agg(F.max(F.struct(_depth("outer"), "outer"))["outer"].alias("gap"))
+    return tags.join(gaps, ["host", "token"], "left").select("host", "token", "kind", "support", "once", "v1", "v2", "gap")
+
+
+def fill(template: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts(host, token, mass, varying) by path -> (host, place, mass, varying): slots, named by the container whose gaps they fill; null outside the template."""
+    places = template.where("kind <> 'wrong'").select("host", F.col("token").alias("place"))
+    spots = texts.select("host", "token", F.explode(_around("token")).alias("place")).join(places, ["host", "place"])
+    innermost = spots.groupBy("host", "token").agg(F.max(F.struct(_depth("place"), "place"))["place"].alias("place"))
+    return texts.join(innermost, ["host", "token"], "left").groupBy("host", "place").agg(F.sum("mass").alias("mass"), F.sum("varying").alias("varying"))
+
+
+def main_slots(template: DataFrame, slots: DataFrame, hosts: int) -> DataFrame:
+    """(host, main, marked): the container of the main slot, and whether it is an article or main element."""
+    frame = template.where("kind <> 'wrong' AND once = support").select("host", "token", F.col("kind").isin("article", "main").alias("marked"), _depth("token").alias("depth"))
+    total = slots.groupBy("host").agg(F.sum("varying").alias("total"))
+    held = slots.where("varying > 0 AND place IS NOT NULL").select("host", F.explode(_around("place")).alias("token"), "varying").groupBy("host", "token").agg(F.sum("varying").alias("varying"))
+    first = F.col("marked") & (2 * F.col("varying") > F.col("total"))
+    best = F.max(F.struct(first.alias("first"), F.when(first, -F.col("depth")).otherwise(F.col("depth")).alias("depth"), "token", "marked"))
+    found = frame.join(held, ["host", "token"]).join(_few(total, hosts), "host").where(first | (F.col("varying") == F.col("total")))
+    main = found.groupBy("host").agg(best.alias("best")).select("host", F.col("best.token").alias("main"), F.col("best.marked").alias("marked"))
+    everywhere = frame.where((F.col("host") == ALL_HOSTS) & F.col("marked")).groupBy("host").agg(F.min(F.struct("depth", "token")).alias("best")).select("host", F.col("best.token").alias("main"), F.lit(True).alias("marked"))
+    return main.unionByName(everywhere)
+
+
+def remaining(template: DataFrame, slots: DataFrame, main: DataFrame) -> DataFrame:
+    """(host, place, counts) for the template's containers from an unmarked main slot's downwards.
+
+    A part is the outermost container of the template inside the main slot's, with all
+    that is nested in it; a part counts if one of its slots varies. What lies between
+    the parts is one slot and counts by itself.
+    """
+    unmarked = main.where("NOT marked").select("host", "main")
+    inside = template.where("kind <> 'wrong'").join(unmarked, "host").where(F.col("token").eqNullSafe(F.col("main")) | F.expr("startswith(token, concat(main, '/'))"))
+    inside = inside.select("host", "main", F.col("token").alias("place"))
+    above = inside.select("host", "place", "main", F.explode(_around("place")).alias("part")).where("length(part) > length(main)")
+    outermost = above.join(inside.select("host", F.col("place").alias("part")), ["host", "part"]).groupBy("host", "place").agg(F.min(F.struct(_depth("part"), "part"))["part"].alias("part"))
+    parts = materialize(inside.join(outermost, ["host", "place"], "left").select("host", "place", F.coalesce("part", "main").alias("part")))
+    varying = parts.join(slots.where("varying > 0"), ["host", "place"], "left_semi").select("host", "part").distinct().withColumn("counts", F.lit(True))
+    return parts.join(varying, ["host", "part"], "left").select("host", "place", F.coalesce("counts", F.lit(False)).alias("counts"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """pages(page_id, host, html) -> (host, main, noise, fixed): the main slot's path, the hashes of repeated texts, and the slots that don't count as main.
+    """pages(page_id, host, html) -> (host, main, noise, places): the main slot's path, the hashes of repeated texts, and which of the template's containers in the main slot count.
 
     One row for each host; a host's row holds tokens that SUPPORT of its pages
     have, so it is as long as a page at most, times 1 / SUPPORT.
@@ -243,27 +324,18 @@ def templates(pages: DataFrame) -> DataFrame:
     known = tokens.where("kind <> 'page'").join(_few(n, hosts), "host").where("pages >= 2")
     common = known.where((F.col("kind") != "#slot") & (F.col("support") >= SUPPORT * F.col("pages")))
     classes = common.groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("token", "kind", "slot", "support", "once", "mass")).alias("members")).where(F.col("size") >= MIN_CLASS)
-    member = materialize(classes.select("host", F.explode("members").alias("m")).select("host", "m.*"))
-    skeleton = member.where("kind NOT IN ('text', 'wrong') AND once = support").select("host", "token", F.col("kind").isin("article", "main").alias("marked"), F.size(F.split("token", "/")).alias("depth"))
+    member = materialize(classes.select("host", "v1", "v2", F.explode("members").alias("m")).select("host", "v1", "v2", "m.*"))
+    template = materialize(nest(member))
     same = member.where("kind = 'text'").groupBy("host", "slot").agg(F.sum("mass").alias("same"))
-    slots = known.where("kind = '#slot'").join(same, ["host", "slot"], "left").select("host", "token", "mass", (F.col("mass") - F.coalesce("same", F.lit(0))).alias("varying"))
-    total = slots.groupBy("host").agg(F.sum("varying").alias("all"), F.sum("mass").alias("any"))
-    total = materialize(total.select("host", (F.col("all") > 0).alias("varies"), F.when(F.col("all") > 0, F.col("all")).otherwise(F.col("any")).alias("total")))
-    slots = materialize(slots.join(_few(total, hosts), "host").select("host", "token", F.when(F.col("varies"), F.col("varying")).otherwise(F.col("mass")).alias("varying"), "total"))
-    around = F.transform(F.sequence(F.lit(1), F.size(F.split("token", "/"))), lambda i: F.array_join(F.slice(F.split("token", "/"), F.lit(1), i), "/"))
-    held = slots.where("varying > 0").select("host", F.explode(around).alias("token"), "varying", "total").groupBy("host", "token").agg(F.sum("varying").alias("varying"), F.first("total").alias("total"))
-    first = F.col("marked") & (2 * F.col("varying") > F.col("total"))
-    best = F.max(F.struct(first.alias("first"), F.when(first, -F.col("depth")).otherwise(F.col("depth")).alias("depth"), "token", "marked"))
-    main = skeleton.join(held, ["host", "token"]).where(first | (F.col("varying") == F.col("total"))).groupBy("host").agg(best.alias("best")).select("host", F.col("best.token").alias("main"), F.col("best.marked").alias("marked"))
-    everywhere = skeleton.where((F.col("host") == ALL_HOSTS) & F.col("marked")).groupBy("host").agg(F.min(F.struct("depth", "token")).alias("best")).select("host", F.col("best.token").alias("main"), F.lit(True).alias("marked"))
-    main = materialize(main.unionByName(everywhere))
-    # A slot belongs to the part that begins right below the main slot.
-    rest = F.expr("substring(token, length(main) + 2)")
-    part = F.when(F.col("token") != F.col("main"), F.concat("main", F.lit("/"), F.substring_index(rest, "/", 1)))
-    still = slots.where("varying = 0").join(_few(main.where("NOT marked"), hosts), "host").where((F.col("token") == F.col("main")) | F.expr("startswith(token, concat(main, '/'))"))
-    fixed = still.select("host", F.col("token").alias("slot"), part.alias("token")).join(held, ["host", "token"], "left_anti").groupBy("host").agg(F.collect_set("slot").alias("fixed"))
+    texts = known.where("kind = '#slot'").join(same, ["host", "slot"], "left").select("host", "token", "mass", (F.col("mass") - F.coalesce("same", F.lit(0))).alias("varying"))
+    slots = materialize(fill(template, texts))
+    total = materialize(slots.groupBy("host").agg((F.sum("varying") > 0).alias("varies")))
+    # Where nothing varies, as in copies of one page, every slot counts as varying.
+    slots = slots.join(_few(total, hosts), "host").select("host", "place", F.when(F.col("varies"), F.col("varying")).otherwise(F.col("mass")).alias("varying"))
+    main = materialize(main_slots(template, slots, hosts))
+    places = remaining(template, slots, main).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("place", "counts"))).alias("places"))
     noise = member.where("kind = 'text'").join(_few(total.where("varies"), hosts), "host", "left_semi").groupBy("host").agg(F.collect_set("token").alias("noise"))
-    return main.join(noise, "host", "full_outer").join(fixed, "host", "left").select("host", "main", "noise", "fixed")
+    return main.join(noise, "host", "full_outer").join(places, "host", "left").select("host", "main", "noise", "places")
 
 
 def _extract():
@@ -271,11 +343,11 @@ def _extract():
         for batch in batches:
             known: dict[tuple, frozenset[int]] = {}
             text = []
-            for page, main, noise, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "_main", "_noise", "_fixed")), strict=True):
+            for page, main, noise, places in zip(*(batch.column(c).to_pylist() for c in ("html", "_main", "_noise", "_places")), strict=True):
                 key = tuple(noise or ())
                 if key not in known:
                     known[key] = frozenset(map(int, key))
-                text.append(main_text(page or "", main, known[key], frozenset(fixed or ())))
+                text.append(main_text(page or "", main, known[key], dict(places or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -287,7 +359,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), "html")
     known = materialize(templates(rows.select("page_id", "host", "html")))
     default = known.where(F.col("host") == ALL_HOSTS).select(F.col("main").alias("_all"))
-    known = known.select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("noise").alias("_noise"), F.col("fixed").alias("_fixed"))
+    known = known.select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("noise").alias("_noise"), F.col("places").alias("_places"))
     if known.count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(known), F.col("host") == F.col("_host"), "left")
     else:
@@ -296,4 +368,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     first = default.first()
     joined = joined.withColumn("_main", F.coalesce("_main", F.lit(first[0] if first else None).cast("string")))
     types = dict(pages.dtypes)
-    return joined.select("page_id", "url", "html", "_main", "_noise", "_fixed").mapInArrow(tidy(_extract()), f"page_id {types['page_id']}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "_main", "_noise", "_places").mapInArrow(tidy(_extract()), f"page_id {types['page_id']}, url string, text string, n_chars long")

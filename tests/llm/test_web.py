@@ -1,4 +1,6 @@
 import random
+from collections import defaultdict
+from html.parser import HTMLParser
 
 import pytest
 
@@ -65,6 +67,77 @@ def test_main_slot_holds_all_that_varies_and_no_part_that_only_repeats(spark):
     assert extracted(spark, marked) == [f"Headline {i}\n\nIntro\n\n{i} {body.strip()}" for i in range(6)]
 
 
+def test_classes_nest_into_gaps(spark):
+    pages = [
+        f'<html><body><nav><ul><li>a</li></ul></nav><div class="c"><h1>{i}</h1>'
+        + ('<div class="box"><h2>Also</h2><ul><li>x</li></ul></div>' if i % 3 else "")
+        + "".join(f'<section><h3>{j}</h3><p>{i}{j}</p></section>' for j in range(i % 4 + 1))
+        + '</div><div class="foot"><p>All</p></div></body></html>'
+        for i in range(12)
+    ]
+    vector = defaultdict(lambda: [0] * len(pages))
+    for i, page in enumerate(pages):
+        for kind, node, _ in templates.read(page):
+            if kind == "open":
+                vector[node.path][i] += 1
+    groups = defaultdict(list)
+    for path, v in vector.items():
+        groups[tuple(v)].append(path)
+    valid = {path: n for n, (v, g) in enumerate(sorted(groups.items())) if len(g) >= 3 and sum(map(bool, v)) >= 0.6 * len(pages) for path in g}
+    want = {}
+    for path in valid:
+        outer = [q for q in valid if path.startswith(f"{q}/") and valid[q] != valid[path]]
+        want[path] = (valid[path], max(outer, key=len) if outer else None)
+    rows = [("h", path, "div", 1, 1, n, 0) for path, n in valid.items()]
+    got = templates.nest(spark.createDataFrame(rows, "host string, token string, kind string, support long, once long, v1 long, v2 long")).collect()
+    assert {r.token: (r.v1, r.gap) for r in got} == want and len(got) == len(rows)
+    assert want["html/body/div.c/div.box/ul"][1] == want["html/body/div.c/section"][1] == "html/body/div.c"
+
+
+def test_a_nested_part_goes_or_stays_whole(spark):
+    box = '<div class="box"><h2>Also</h2><ul><li>x</li></ul></div>'
+    page = lambda i, inner, outer: f'{outer}<div class="c"><h1>Title {i}</h1><p>Text {i} of the page</p>{inner}</div><div class="end"><p>All</p><p>rights</p></div>'
+    # A class that only some pages have, nested beside the varying part: it never varies, so it goes.
+    assert extracted(spark, [page(i, "", box if i % 4 else "") + f"<div><p>Tail {i}</p></div>" for i in range(8)]) == [f"Title {i}\n\nText {i} of the page\n\nTail {i}" for i in range(8)]
+    # Inside the varying part it stays.
+    assert extracted(spark, [page(i, box if i % 4 else "", "") + f"<div><p>Tail {i}</p></div>" for i in range(8)]) == [f"Title {i}\n\nText {i} of the page" + ("\n\nAlso\n\nx" if i % 4 else "") + f"\n\nTail {i}" for i in range(8)]
+
+
+class Article(HTMLParser):
+    """The blocks inside article elements, by the language's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.on, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.on += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in templates.INLINE:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.on -= tag == "article"
+        if tag not in templates.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.on:
+            self.blocks[-1] += data
+
+
+def test_pages_against_another_parser(spark, sf):
+    """The shared pages have one article each, without anything of the wrong kind in it."""
+    d = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in templates.extract_pages(d).collect()}
+    for r in d.collect():
+        other = Article()
+        other.feed(r.html or "")
+        other.close()
+        assert got[r.page_id] == "\n\n".join(b for b in (" ".join(x.split()) for x in other.blocks) if b), r.page_id
+
+
 def test_salted_join_gives_the_same(spark, sf, monkeypatch):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     one = sorted((r.page_id, r.text) for r in templates.extract_pages(d).collect())
