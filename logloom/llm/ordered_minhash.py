@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 K, ENTRIES, TUPLE = 3, 20, 2
 #: Rows whose order is settled by one sort when each document is given its successor.
 BUCKET_ROWS = 2048
+#: Parts of a text's k-mers whose minima are found first.
+PARTS = 16
 
 LOW = (1 << 32) - 1
 
@@ -71,17 +73,29 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, entries: int
     df = df.withColumn("_l", F.when(F.size("_e") > 0, by_run(F.col("_e"), lambda a, b: a == b, lambda x, n: F.struct(x.alias("x"), F.xxhash64(x, n + 1).alias("key")))))
     df = df.withColumn("_k", F.when(repeats, F.concat("_u", F.col("_l.key"))).otherwise(F.col("_h")))
 
-    def least(j: Column) -> Column:
-        """The places from 1 in _k of the TUPLE k-mers that hash j ranks first."""
+    df = df.withColumn("_step", F.ceil(F.size("_k") / F.lit(PARTS)).cast("int"))
+    df = df.withColumn("_g", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.slice("_k", p * F.col("_step") + 1, F.col("_step"))))
 
-        def places(ranks: Column) -> Column:
-            place = lambda m: F.array_position(ranks, m).cast("int")
-            second = lambda m: F.array_min(F.array_remove(ranks, m))
-            return let(F.array_min(ranks), lambda m: F.array_compact(F.array(place(m), place(second(m)))))
+    def ranks(keys: Column, j: Column) -> Column:
+        return F.transform(keys, lambda c: F.xxhash64(c, j))
 
-        return let(F.transform("_k", lambda c: F.xxhash64(c, j)), places)
+    # Each hash's minimum of each part; only the parts of the least two are ranked again.
+    df = df.withColumn("_m", F.array(*[F.transform("_g", lambda g: F.array_min(ranks(g, F.lit(j)))) for j in range(1, entries + 1)]))
 
-    df = df.withColumn("_p", F.transform(F.sequence(F.lit(1), F.lit(entries)), least))
+    def least(mins: Column, i: Column) -> Column:
+        """The places from 1 in _k of the TUPLE k-mers that hash i + 1 ranks first."""
+        inside = lambda p: ranks(F.get("_g", p - 1), i + 1)
+        place = lambda p, rank: (p - 1) * F.col("_step") + F.array_position(inside(p), rank).cast("int")
+        part = lambda rank: F.array_position(mins, rank).cast("int")
+
+        def places(first: Column, p: Column) -> Column:
+            rest = F.array_min(F.array_remove(inside(p), first))
+            picked = lambda second: F.array_compact(F.array(place(p, first), place(F.coalesce(F.nullif(part(second), F.lit(0)), p), second)))
+            return let(F.least(rest, F.array_min(F.array_remove(mins, first))), picked)
+
+        return let(F.array_min(mins), lambda first: let(part(first), lambda p: places(first, p)))
+
+    df = df.withColumn("_p", F.transform("_m", least))
     late = F.filter(F.flatten("_p"), lambda q: q > F.size("_u"))
     df = df.withColumn("_f", F.when(repeats, F.array_distinct(F.transform(late, lambda q: F.get("_l", q - F.size("_u") - 1)["x"]))))
 
