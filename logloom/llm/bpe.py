@@ -19,16 +19,18 @@ keeps the bits of a character until its last byte is there. The machine's moves
 over whole tokens are made lazily too, so a token costs one lookup.
 
 Defined results: null counts as empty, an empty text has no tokens. Remembered
-states and pieces are dropped when they reach their bounds and made again; that
-changes no result.
+states are dropped when they reach their bound, pieces when half of theirs has
+come since their last use, and made again; that changes no result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
+from contextlib import suppress
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -42,6 +44,7 @@ MAX_PIECES = 600_000
 #: Bytes that wait before settled tokens are looked for.
 LOOKAHEAD = 16
 NEVER = 1 << 60
+ONE = [bytes([i]) for i in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,16 +60,15 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._back: dict[int, int] = {}  # a trie of the entries read from their ends: node << 8 | byte -> node
-        self._here = [-1]  # the entry that ends at a node of it
-        for token, rank in ranks.items():
-            node = 0
-            for byte in reversed(token):
-                node = self._back.setdefault(node << 8 | byte, len(self._here))
-                if node == len(self._here):
-                    self._here.append(-1)
-            self._here[node] = rank
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.open = {t[:i] for t in ranks for i in range(1, len(t))}  # what some entry goes on from
+        # A machine that finds the entries which end at a byte. A node is the longest end of what was read that begins an entry.
+        self._nodes: dict[bytes, int] = {}
+        self._begun: list[bytes] = []
+        self._ends: list[tuple[tuple[int, int], ...]] = []  # the entries that end at a node and their lengths, longest first
+        self._live: list[tuple[int, ...]] = []  # how many bytes ago an entry that goes on may have begun
+        self._next: dict[int, int] = {}  # node << 8 | byte -> node
+        self._node(b"")
         self._pairs: dict[int, bool] = {}
         self._edges: dict[int, tuple[list, list] | None] = {}
         self._reset()
@@ -75,15 +77,37 @@ class Transducer:
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state((None, b"", ()))
+        self._state((None, b"", (), 0))
 
     def _state(self, key: tuple) -> int:
-        i = self._ids.get(key)
+        i = self._ids.get(key[:3])  # the rest follows from the bytes
         if i is None:
-            i = self._ids[key] = len(self._states)
+            i = self._ids[key[:3]] = len(self._states)
             self._states.append(key)
         return i
 
+    def _node(self, begun: bytes) -> int:
+        i = self._nodes.get(begun)
+        if i is None:
+            i = self._nodes[begun] = len(self._begun)
+            self._begun.append(begun)
+            ends = [begun[k:] for k in range(len(begun))]
+            self._ends.append(tuple((self.ranks[e], len(e)) for e in ends if e in self.ranks))
+            self._live.append(tuple(len(e) for e in ends if e in self.open))
+        return i
+
+    def _further(self, node: int, byte: int) -> int:
+        """The machine's node after one more byte; nodes are parts of entries, so only the steps between them need a bound."""
+        to = self._next.get(node << 8 | byte)
+        if to is None:
+            read = self._begun[node] + ONE[byte]
+            while read and read not in self.open and read not in self.ranks:
+                read = read[1:]
+            if len(self._next) >= 4 * self.max_states:
+                self._next.clear()
+            to = self._next[node << 8 | byte] = self._node(read)
+        return to
+
     def by_merging(self, piece: bytes) -> tuple[list[int], tuple[bytes, bytes] | None]:
         """The definition: join the neighbours of least rank, leftmost first, until none can be; also the last two joined."""
         parts, last = [piece[i : i + 1] for i in range(len(piece))], None
@@ -121,73 +145,83 @@ class Transducer:
         known = self._pairs.get(before << 32 | token)
         if known is None:
             known = self.edges(token) is not None
-            a, b = self.edges(before)[1], self.edges(token)[0] if known else None
-            i = j = 0
-            while known:
-                (x, ends_x), (y, ends_y) = a[i], b[j]
-                rank = self.ranks.get(x + y, NEVER)
-                if rank < ends_x and rank <= ends_y and rank != NEVER:
-                    known = False
-                    break
-                if ends_x == ends_y == NEVER:
-                    break
-                if ends_x <= ends_y:
-                    i += 1
-                else:
-                    j += 1
+            if known:
+                ranks, left, right = self.ranks, iter(self.edges(before)[1]), iter(self.edges(token)[0])
+                (x, ends_x), (y, ends_y) = next(left), next(right)
+                while True:
+                    rank = ranks.get(x + y, NEVER)
+                    if rank < ends_x and rank <= ends_y:
+                        known = False
+                        break
+                    if ends_x <= ends_y:
+                        if ends_x == NEVER:
+                            break
+                        x, ends_x = next(left)
+                    else:
+                        y, ends_y = next(right)
             if len(self._pairs) >= 4 * self.max_states:
                 self._pairs.clear()
             self._pairs[before << 32 | token] = known
         return known
 
-    def _path(self, lasts: tuple[int, ...], end: int) -> list[int]:
-        out = []
+    def _path(self, lasts: Sequence[int], end: int) -> list[int]:
+        out, sizes = [], self.sizes
         while end:
-            out.append(lasts[end - 1])
-            end -= len(self.tokens[lasts[end - 1]])
+            token = lasts[end - 1]
+            out.append(token)
+            end -= sizes[token]
         return out[::-1]
 
-    def _last(self, data: bytes, n: int, before: int | None, lasts: tuple[int, ...]) -> int:
-        """The last token of data[:n], given those of its shorter prefixes and the token before."""
-        node, back, here, pairs = 0, self._back, self._here, self._pairs
-        for i in range(n - 1, -1, -1):
-            node = back.get(node << 8 | data[i])
-            if node is None:
-                break
-            token = here[node]
-            if token >= 0:
-                left = lasts[i - 1] if i else before
-                fits = self.edges(token) is not None if left is None else pairs.get(left << 32 | token)
-                if fits or fits is None and self._compatible(left, token):
-                    return token
-        raise ValueError(f"the vocabulary has no token that ends {data[:n]!r}")
+    def _last(self, node: int, before: int | None, lasts: Sequence[int]) -> int:
+        """The last token of what was read up to the node: the one entry that ends there and is compatible with the token before it, mostly a long one."""
+        n, pairs = len(lasts) + 1, self._pairs
+        for token, size in self._ends[node]:
+            left = lasts[n - size - 1] if size < n else before
+            fits = self.edges(token) is not None if left is None else pairs.get(left << 32 | token)
+            if fits or fits is None and self._compatible(left, token):
+                return token
+        raise ValueError(f"the vocabulary has no token that ends {self._begun[node]!r}")
+
+    def _settle(self, node: int, lasts: Sequence[int]) -> int:
+        """Where the tokens end that all live boundaries share: the paths to them are followed back until they meet."""
+        n, sizes = len(lasts), self.sizes
+        live = {n - k for k in self._live[node]}
+        end = n
+        while live:
+            last = max(live)
+            if last == end:
+                live.remove(end)
+            elif last > end:
+                live.remove(last)
+                live.add(last - sizes[lasts[last - 1]])
+            else:
+                end -= sizes[lasts[end - 1]]
+        return end
+
+    def _cut(self, pending: bytes, lasts: Sequence[int], end: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state after the tokens that are settled up to `end`, and these."""
+        emitted, node = tuple(self._path(lasts, end)), 0
+        for byte in pending[end:]:  # entries that begin before the cut don't count any more
+            node = self._further(node, byte)
+        return (emitted[-1], pending[end:], tuple(lasts[end:]), node), emitted
 
     def _move(self, here: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The state after one more byte, and the tokens that it settles."""
-        before, pending, lasts = here
-        pending += bytes([byte])
-        n = len(pending)
-        lasts += (self._last(pending, n, before, lasts),)
-        if n < LOOKAHEAD:
-            return (before, pending, lasts), ()
-        paths = [self._path(lasts, i) for i in range(max(0, n - self.longest + 1), n + 1) if i == n or pending[i:] in self.open]
-        settled = 0
-        while all(len(p) > settled for p in paths) and len({p[settled] for p in paths}) == 1:
-            settled += 1
-        emitted = tuple(paths[0][:settled])
-        if emitted:
-            cut = sum(len(self.tokens[t]) for t in emitted)
-            before, pending, lasts = emitted[-1], pending[cut:], lasts[cut:]
-        return (before, pending, lasts), emitted
+        before, pending, lasts, node = here
+        node = self._further(node, byte)
+        lasts += (self._last(node, before, lasts),)
+        pending += ONE[byte]
+        end = self._settle(node, lasts) if len(lasts) >= LOOKAHEAD else 0
+        return self._cut(pending, lasts, end) if end else ((before, pending, lasts, node), ())
 
     def stream(self, data: Iterable[int], keep: int = NEVER) -> Iterator[int]:
         """Token ids as soon as they are settled; of the transitions that have to be made, the first `keep` are remembered."""
-        state, here = 0, None  # here: a state that isn't kept
+        state, data = 0, iter(data)
         for byte in data:
-            move = self._moves.get(state << 8 | byte) if here is None else None
+            move = self._moves.get(state << 8 | byte)
             if move is not None:
                 state, emitted = move
-            elif here is None and keep:
+            elif keep:
                 keep -= 1
                 at = self._states[state]
                 to, emitted = self._move(at, byte)
@@ -197,13 +231,34 @@ class Transducer:
                 key, state = state << 8 | byte, self._state(to)
                 self._moves[key] = state, emitted
             else:
-                here, emitted = self._move(self._states[state] if here is None else here, byte)
-                if emitted and here in self._ids:
-                    state, here = self._ids[here], None
+                state = yield from self._by_hand(self._states[state], chain((byte,), data))
+                if state is None:
+                    return
+                continue
             if emitted:
                 yield from emitted
-        _, pending, lasts = self._states[state] if here is None else here
-        yield from self._path(lasts, len(pending))
+        lasts = self._states[state][2]
+        yield from self._path(lasts, len(lasts))
+
+    def _by_hand(self, here: tuple, data: Iterable[int]) -> Generator[int, None, int | None]:
+        """What _move does to the bytes one after the other, without keeping it; ends at a state that is kept, or with the data."""
+        before, pending, lasts, node = here
+        pending, lasts = bytearray(pending), list(lasts)
+        steps, last = self._next, self._last
+        for byte in data:
+            node = steps.get(node << 8 | byte) or self._further(node, byte)
+            lasts.append(last(node, before, lasts))
+            pending.append(byte)
+            end = self._settle(node, lasts) if len(lasts) >= LOOKAHEAD else 0
+            if end:
+                here, emitted = self._cut(bytes(pending), lasts, end)
+                yield from emitted
+                state = self._ids.get(here[:3])
+                if state is not None:
+                    return state
+                before, pending, lasts, node = here[0], bytearray(here[1]), list(here[2]), here[3]
+        yield from self._path(lasts, len(lasts))
+        return None
 
     def encode(self, piece: bytes) -> list[int]:
         """All token ids of a piece; each new piece adds one transition, so that what only one piece uses isn't kept."""
@@ -261,11 +316,24 @@ class Utf8Stream:
         return BAD if cut else ""
 
 
+class Made(dict):
+    """Values that are made when first asked for and kept for good."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Decoder:
     """The UTF-8 machine run over whole tokens: a token's bytes from one state are stepped through once, and the move is kept."""
 
     def __init__(self, tokens: dict[int, bytes], max_moves: int = MAX_PIECES):
         self.tokens, self.max_moves = tokens, max_moves
+        self.whole = Made(self._whole)
         self._forget()
 
     def _forget(self) -> None:
@@ -286,6 +354,32 @@ class Decoder:
             self.moves[key] = move
         return move
 
+    def _whole(self, token: int) -> str | None:
+        """What a token completes by which the machine goes from its start to its start; None for other tokens."""
+        state, text = self._move(token)
+        return None if state else text
+
+    def text(self, ids: Iterable[int]) -> str:
+        """All that the stream gives. Between whole tokens the machine is at its start; only from others on it goes by single moves."""
+        ids = list(ids)
+        parts = list(map(self.whole.__getitem__, ids))
+        try:
+            return "".join(parts)
+        except TypeError:
+            pass
+        at, n = 0, len(parts)
+        with suppress(ValueError):
+            while True:
+                at = parts.index(None, at)
+                state, text = self.moves.get(ids[at]) or self._move(ids[at])
+                parts[at], at = text, at + 1
+                while state and at < n:
+                    state, text = self.moves.get(state | ids[at]) or self._move(state | ids[at])
+                    parts[at], at = text, at + 1
+                if state:
+                    parts.append(BAD)
+        return "".join(parts)
+
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The characters that each token completes."""
         state, moves = 0, self.moves
@@ -311,6 +405,7 @@ class Codec:
         self.max_pieces = max_pieces
         self.decimal = [str(i) for i in range(max(self.transducer.tokens) + 1)]
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}  # remembered before pieces was last full
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -318,14 +413,18 @@ class Codec:
         for piece in self.find(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) >= self.max_pieces:
-                    known.clear()
-                ids = known[piece] = tuple(self.transducer.encode(piece.encode()))
+                ids = self.earlier.get(piece)
+                if ids is None:
+                    ids = tuple(self.transducer.encode(piece.encode()))
+                if len(known) >= self.max_pieces // 2:
+                    self.earlier, known = known, {}
+                    self.pieces = known
+                known[piece] = ids
             add(ids)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decoder.stream(ids))
+        return self.decoder.text(ids)
 
 
 @cache

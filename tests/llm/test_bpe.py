@@ -83,6 +83,36 @@ def test_decoding_of_any_ids(max_moves):
         assert "".join(d.stream(ids)) == b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
 
 
+def test_paths_of_a_long_piece_are_followed_once_for_each_emission(monkeypatch):
+    t = bpe.Transducer(bpe.read_ranks(PATH))
+    piece = b"=" * 300
+    calls, path = [], t._path
+    monkeypatch.setattr(t, "_path", lambda lasts, end: calls.append(end) or path(lasts, end))
+    ids = list(t.stream(piece))
+    assert ids == t.by_merging(piece)[0]
+    assert len(calls) <= len(ids) + 1
+
+
+def test_a_piece_in_use_is_not_forgotten(monkeypatch):
+    c = bpe.Codec(PATH, public_tokenizers.PATTERN, max_pieces=8)
+    made, encode = [], c.transducer.encode
+    monkeypatch.setattr(c.transducer, "encode", lambda piece: made.append(piece) or encode(piece))
+    for i in range(200):
+        c.encode(f"zqzq {i}xx")
+    assert made.count(b"zqzq") == 1
+    assert len(c.pieces) + len(c.earlier) <= 8
+
+
+@pytest.mark.parametrize("max_moves", [1, 3, 10_000])
+def test_text_of_any_ids_as_the_stream(max_moves):
+    tokens = dict(enumerate([b"a", b"\xe2", b"\x82", b"\xac", b"\xe2\x82", b"\xacz\xf0\x9f", b"\x98\x80", b"\xff", b"bc"]))
+    d = bpe.Decoder(tokens, max_moves)
+    rnd = random.Random(2)
+    for _ in range(500):
+        ids = [rnd.choice([0, 8, rnd.randrange(len(tokens))]) for _ in range(rnd.randint(0, 12))]
+        assert d.text(iter(ids)) == "".join(d.stream(ids)) == b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
+
+
 def test_documents_nulls_and_empty_table(spark, sf, reference):
     docs = spark.createDataFrame([(1, "the cat", "x"), (2, None, "y"), (3, "", "z"), (1, "the cat", "x")], "doc_id long, text string, ids string")
     rows = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN)
